@@ -94,7 +94,7 @@ def count_ngrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 total += np.bincount(ngram_buckets(texts[a:b])[0].ravel(), minlength=BUCKETS)
     for lang, total in counts.items():
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"lang": lang, "bucket": [-1, *at], "n": [texts_of[lang], *total[at]]})
+        yield pd.DataFrame({"lang": pd.Series([lang] * (len(at) + 1), dtype=object), "bucket": [-1, *at], "n": [texts_of[lang], *total[at]]})
 
 
 class Model:

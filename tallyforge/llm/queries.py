@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, topk_search, url_filter
+from . import language_id, simhash_dedup, topk_search, toxicity, url_filter
 from .common import learned_fold, table
 
 #: The rules of the URL query: (host and path, verdict).
@@ -18,6 +18,18 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(learned_fold(F.col("doc_id"))))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (~learned_fold(F.col("doc_id"))).alias("held_out"), "toxicity.score", "toxicity.predicted", F.size("toxicity.passages").alias("n_passages"))
+
+
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_dedup.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.learn(docs.where(learned_fold(F.col("doc_id"))))
@@ -36,6 +48,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk_search": op1_topk_search,
+        "op2_toxicity": op2_toxicity,
+        "op3_simhash_dedup": op3_simhash_dedup,
         "op5_language_id": op5_language_id,
         "op9_url_filter": op9_url_filter,
     }
