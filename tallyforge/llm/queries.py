@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, simhash_dedup, topk_search, toxicity, url_filter
+from . import language_id, simhash_dedup, suffix_dedup, topk_search, toxicity, url_filter
 from .common import learned_fold, table
 
 #: The rules of the URL query: (host and path, verdict).
@@ -37,6 +37,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~learned_fold(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of pages: the quality label of the document with the page's id."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -51,5 +55,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op5_language_id": op5_language_id,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op9_url_filter": op9_url_filter,
     }

@@ -4,8 +4,8 @@ A token is a word or one of its leading parts of 3 to 7 letters, so that a stem
 counts in all its inflections and compounds. Learning counts, by class, the
 labelled texts that hold a token. A token's log-odds between the classes get an
 informative Dirichlet prior (its count over both classes, scaled down by
-PRIOR_SHARE), and only those of at least LEAST_ODDS whose z-score clears
-Z_LEAST count. A word scores the best of its tokens; any other word costs a small
+PRIOR_SHARE), and only those of at least LEAST_ODDS whose z-score clears the
+universal threshold sqrt(2 ln m) for m tokens tried count. A word scores the best of its tokens; any other word costs a small
 drift, so that the expected score of clean text is negative. A linear scan then finds all maximal segments of a text, each a
 passage whose score no extension or trimming improves. Under clean text segment
 scores follow an extreme-value law: with lambda the positive root of
@@ -37,10 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIT_ROWS = 20_000
-PRIOR_SHARE = 0.02
-Z_LEAST = 3.0
-LEAST_ODDS = 1.5
-LEAST_TEXTS = 3
+PRIOR_SHARE = 0.1
+LEAST_ODDS = 3.0
+LEAST_TEXTS = 5
 PREFIXES = range(3, 8)
 CACHED_WORDS = 500_000
 DRIFT = 0.05
@@ -86,6 +85,7 @@ def tokens_of(word: str) -> set[str]:
 def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
     """Tokens with significant log-odds of the toxic class, by an informative Dirichlet prior; counts are of texts."""
     out = {}
+    z_least = np.sqrt(2 * np.log(max(2, sum(seen >= LEAST_TEXTS for seen in toxic.values()))))
     for token, seen in toxic.items():
         if seen < LEAST_TEXTS:
             continue
@@ -93,7 +93,7 @@ def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict
         in_toxic, in_clean = seen + prior, clean[token] + prior
         size = PRIOR_SHARE * (n_toxic + n_clean)
         delta = np.log(in_toxic / (n_toxic + size - in_toxic + 1)) - np.log(in_clean / (n_clean + size - in_clean + 1))
-        if delta >= LEAST_ODDS and delta / np.sqrt(1 / in_toxic + 1 / in_clean) >= Z_LEAST:
+        if delta >= LEAST_ODDS and delta / np.sqrt(1 / in_toxic + 1 / in_clean) >= z_least:
             out[token] = float(delta)
     return out
 
