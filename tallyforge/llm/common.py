@@ -43,3 +43,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def learned_fold(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves a remainder other than 1 modulo 3 (null ids: true)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(True))
+
+
+def hash_sample(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
+    """About ``rows`` rows (all, if there are no more), chosen by a hash of the columns, the same in every run."""
+    total = df.count()
+    share = min(1.0, rows / max(1, total))
+    return df if share == 1.0 else df.where(F.pmod(F.xxhash64(F.lit(3), *columns), F.lit(1 << 30)) < int(share * (1 << 30)))

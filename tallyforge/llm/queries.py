@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, simhash_dedup, suffix_dedup, topk_search, toxicity, url_filter
-from .common import learned_fold, table
+from . import language_id, packing, simhash_dedup, suffix_dedup, token_shards, topk_search, toxicity, url_filter, vocabularies
+from .common import learned_fold, table, work_dir
 
 #: The rules of the URL query: (host and path, verdict).
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -37,6 +38,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~learned_fold(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = vocabularies.ByteLevelBpe.read(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
@@ -49,12 +55,21 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = vocabularies.WordBpe.read(public_tokenizers.path("word_bpe_49k.json"))
+    path = f"{work_dir(spark)}/shards"
+    token_shards.write_shards(table(spark, sf_dir, "documents"), vocabulary, 2, path, vocabulary_size=49_408)
+    return token_shards.read_documents(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk_search": op1_topk_search,
         "op2_toxicity": op2_toxicity,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op5_language_id": op5_language_id,
+        "op6_packing": op6_packing,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op9_url_filter": op9_url_filter,
+        "op10_token_shards": op10_token_shards,
     }

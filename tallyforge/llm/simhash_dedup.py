@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hash_sample, stored
 from .components import components
 
 SEED = 42
@@ -170,7 +170,7 @@ def leaf_links(radius: int, block: int = 256):
 def linked_fingerprints(spark: SparkSession, distinct: DataFrame, radius: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(node, root) components of the distinct fingerprints ``fp`` that lie within ``radius`` bits."""
     rows = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_ROWS).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    sample = hash_sample(distinct, ["fp"], SAMPLE_ROWS).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     forest = Forest(sample, rows, radius, leaf_rows)
     sent = spark.sparkContext.broadcast(forest)  # at most 2 * PARTS * SAMPLE_ROWS / LEAST_SAMPLE nodes
 

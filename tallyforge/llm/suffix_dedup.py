@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import hash_sample, shuffle_partitions, stored
 
 LENGTH = 400
 GRAM = 128
@@ -289,7 +289,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, i
     mine = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("id").eqNullSafe(F.col("first"))
     held = stored(texts.join(concerned, mine).select(*key, "text", "anchors", F.col("spans").alias("whole")), "held")
 
-    sample = anchors.orderBy(F.xxhash64("gram", "pos")).limit(SAMPLE_ROWS).select("lead").toPandas()["lead"].to_numpy()
+    sample = hash_sample(anchors, ["k1", "pos"], SAMPLE_ROWS).select("lead").toPandas()["lead"].to_numpy()
     counts = wanted.count()
     buckets = max(shuffle_partitions(spark), -(-counts // BUCKET_ROWS))
     splitters = np.unique(np.quantile(sample, np.linspace(0, 1, buckets + 1)[1:-1], method="nearest")) if len(sample) else np.zeros(0, np.int64)
