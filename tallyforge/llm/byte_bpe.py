@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 RUN_CHARS = 2_000_000
 EDGE = 0xFFFF
 NONE = 0x1_0000
@@ -53,11 +55,6 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once: lambdas share no subexpressions, but a lambda's variable is a value."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 class RankTable:
     """The pairs as arrays: a displacement for each bucket; a pair and its rank in each slot.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, simhash_dedup, suffix_dedup, token_shards, topk_search, toxicity, url_filter, vocabularies
+from . import byte_bpe, language_id, packing, simhash_dedup, spotsigs, suffix_dedup, token_shards, topk_search, toxicity, url_filter, vocabularies
 from .common import learned_fold, table, work_dir
 
 #: The rules of the URL query: (host and path, verdict).
@@ -31,6 +31,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compared_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.learn(docs.where(learned_fold(F.col("doc_id"))))
@@ -47,6 +51,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of pages: the quality label of the document with the page's id."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -67,9 +76,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_topk_search": op1_topk_search,
         "op2_toxicity": op2_toxicity,
         "op3_simhash_dedup": op3_simhash_dedup,
+        "op4_spot_signatures": op4_spot_signatures,
         "op5_language_id": op5_language_id,
         "op6_packing": op6_packing,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op8_byte_bpe": op8_byte_bpe,
         "op9_url_filter": op9_url_filter,
         "op10_token_shards": op10_token_shards,
     }

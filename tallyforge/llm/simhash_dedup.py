@@ -184,11 +184,33 @@ def linked_fingerprints(spark: SparkSession, distinct: DataFrame, radius: int, l
     return components(found)
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """(id, fp as long, component_id) of every row: the least id that links of at most ``radius`` bits reach."""
-    own = stored(docs.select(F.col(id_col), fingerprints(F.col(text_col), words).alias("fp")), "fingerprints")
+def grouped(docs: DataFrame, words: int, radius: int, id_col: str, text_col: str, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(id, row_key, text_key, fp, component_id, root) of every row; root is the least fingerprint of its group."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col), *row_keys(id_col, text), fingerprints(F.col(text_col), words).alias("fp"))
+    own = stored(own, "fingerprints")
     least = stored(own.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct")
     roots = linked_fingerprints(docs.sparkSession, least.select("fp"), radius, leaf_rows)
     rooted = least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return own.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    return own.join(rooted.join(ids, "root").select("fp", "component_id", "root"), "fp")
+
+
+def row_keys(id_col: str, text: Column) -> list[Column]:
+    """Two hashes that tell rows apart by id and text."""
+    return [F.xxhash64(F.col(id_col), text).alias("row_key"), F.xxhash64(F.lit(1), text).alias("text_key")]
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(id, fp as long, component_id) of every row: the least id that links of at most ``radius`` bits reach."""
+    return grouped(docs, words, radius, id_col, text_col, leaf_rows).select(id_col, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """``docs`` with one row of each group: of least id (nulls last), then of least text hash; rows alike in both are one."""
+    first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), "text_key", "row_key")).alias("first")
+    kept = grouped(docs, words, radius, id_col, text_col, leaf_rows).groupBy("root").agg(first).select(F.col("first.row_key").alias("__row_key"), F.col("first.text_key").alias("__text_key"))
+    row_key, text_key = row_keys(id_col, F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.withColumns({"__row_key": row_key, "__text_key": text_key})
+    keys = ["__row_key", "__text_key"]
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
