@@ -111,7 +111,14 @@ def literal_array(values, kind: str) -> Column:
     return text if kind == "string" else text.cast(f"array<{kind}>")
 
 
-def merged_ids(word: Column, ranks: dict[bytes, int], table: RankTable) -> Column:
+def merged_ids(words: Column, ranks: dict[bytes, int], table: RankTable) -> Column:
+    """The ids of each of an array of words. The tables are bound once around all words, so a plan holds each of them once."""
+    single = literal_array([ranks[bytes([b])] for b in range(256)], "long")
+    shift, entry = literal_array(table.shift.tolist(), "long"), literal_array(table.entry.tolist(), "long")
+    return let(single, lambda x: let(shift, lambda y: let(entry, lambda z: F.transform(words, lambda w: word_ids(w, table, x, y, z)))))
+
+
+def word_ids(word: Column, table: RankTable, single: Column, shift: Column, entry: Column) -> Column:
     """The ids of a word (array of its bytes as long): array of long.
 
     The state of the fold is one array: for each id, the rank of the pair that it
@@ -120,8 +127,6 @@ def merged_ids(word: Column, ranks: dict[bytes, int], table: RankTable) -> Colum
     the same joined bytes). A step replaces the pair by the id that has its rank,
     and looks up the two pairs that are new.
     """
-    single = literal_array([ranks[bytes([b])] for b in range(256)], "long")
-    shift, entry = literal_array(table.shift.tolist(), "long"), literal_array(table.entry.tolist(), "long")
     low, edge = F.lit(0xFFFF).cast("long"), F.lit(EDGE).cast("long")
     element = lambda a, b: F.shiftleft(table.column(a, b, shift, entry), 16).bitwiseOR(a)
     idle = F.lit(NONE << 16).cast("long")
@@ -145,13 +150,13 @@ def merged_ids(word: Column, ranks: dict[bytes, int], table: RankTable) -> Colum
     return F.when(F.size(word) > 0, let(F.transform(word, lambda b: F.get(single, b)), fold)).otherwise(F.array().cast("array<long>"))
 
 
-def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes of an array of ids: their binary pieces, concatenated."""
+def decoded(encoded: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of each of an array of arrays of ids: their binary pieces, concatenated."""
     pieces = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
     table = literal_array([p.hex() for p in pieces], "string")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
+    return let(table, lambda t: F.transform(encoded, lambda ids: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t, i)), ""))))
 
 
 def runs_of_words(pattern: str):
@@ -215,7 +220,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     table = RankTable(pair_ranks(ranks))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     runs = rows.mapInArrow(runs_of_words(pattern), "ids array<long>, numbers array<binary>, words array<array<long>>")
-    words = runs.select("ids", "numbers", F.transform("words", lambda w: merged_ids(w, ranks, table)).alias("encoded"))
-    both = words.select("ids", "numbers", "encoded", F.transform("encoded", lambda x: decoded(x, ranks)).alias("decoded"))
+    words = runs.select("ids", "numbers", merged_ids(F.col("words"), ranks, table).alias("encoded"))
+    both = words.select("ids", "numbers", "encoded", decoded(F.col("encoded"), ranks).alias("decoded"))
     found = both.mapInArrow(digests, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return found.select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256")
