@@ -113,19 +113,22 @@ def literal_array(values, kind: str) -> Column:
 
 def merged_ids(words: Column, ranks: dict[bytes, int], table: RankTable) -> Column:
     """The ids of each of an array of words. The tables are bound once around all words, so a plan holds each of them once."""
-    single = literal_array([ranks[bytes([b])] for b in range(256)], "long")
+    ids = [ranks[bytes([b])] for b in range(256)]
+    single = literal_array([NONE << 16 | i for i in ids], "long")
+    double = literal_array([ranks.get(bytes([a, b]), NONE) << 16 | ids[a] for a in range(256) for b in range(256)], "long")
     shift, entry = literal_array(table.shift.tolist(), "long"), literal_array(table.entry.tolist(), "long")
-    return let(single, lambda x: let(shift, lambda y: let(entry, lambda z: F.transform(words, lambda w: word_ids(w, table, x, y, z)))))
+    return let(single, lambda x: let(double, lambda d: let(shift, lambda y: let(entry, lambda z: F.transform(words, lambda w: word_ids(w, table, x, d, y, z))))))
 
 
-def word_ids(word: Column, table: RankTable, single: Column, shift: Column, entry: Column) -> Column:
+def word_ids(word: Column, table: RankTable, single: Column, double: Column, shift: Column, entry: Column) -> Column:
     """The ids of a word (array of its bytes as long): array of long.
 
     The state of the fold is one array: for each id, the rank of the pair that it
     begins, then the id itself in the low 16 bits; an id that is in no pair stands
     at either edge. The least element is the next merge (equal ranks at once are
     the same joined bytes). A step replaces the pair by the id that has its rank,
-    and looks up the two pairs that are new.
+    and looks up the two pairs that are new. single and double hold the elements
+    of a last byte and of a byte before another.
     """
     low, edge = F.lit(0xFFFF).cast("long"), F.lit(EDGE).cast("long")
     element = lambda a, b: F.shiftleft(table.column(a, b, shift, entry), 16).bitwiseOR(a)
@@ -142,12 +145,11 @@ def word_ids(word: Column, table: RankTable, single: Column, shift: Column, entr
     def step(state: Column, _: Column) -> Column:
         return let(F.array_min(state), lambda least: F.when(least < idle, merge(state, least)).otherwise(state))
 
-    def fold(ids: Column) -> Column:
-        start = F.zip_with(F.concat(F.array(edge), ids), F.concat(ids, F.array(edge)), element)
-        merged = F.aggregate(F.slice(word, F.lit(2), F.size(word)), F.concat(start, F.array(idle.bitwiseOR(edge))), step)
-        return F.transform(F.slice(merged, F.lit(2), F.size(merged) - 2), lambda x: x.bitwiseAND(low))
-
-    return F.when(F.size(word) > 0, let(F.transform(word, lambda b: F.get(single, b)), fold)).otherwise(F.array().cast("array<long>"))
+    ends = F.array(idle.bitwiseOR(edge))
+    start = F.zip_with(word, F.slice(word, F.lit(2), F.size(word)), lambda a, b: F.coalesce(F.get(double, F.shiftleft(a, 8) + b), F.get(single, a)))
+    merged = F.aggregate(F.slice(word, F.lit(2), F.size(word)), F.concat(ends, start, ends), step)
+    ids = let(merged, lambda m: F.transform(F.slice(m, F.lit(2), F.size(m) - 2), lambda x: x.bitwiseAND(low)))
+    return F.when(F.size(word) > 0, ids).otherwise(F.array().cast("array<long>"))
 
 
 def decoded(encoded: Column, ranks: dict[bytes, int]) -> Column:
