@@ -266,6 +266,32 @@ def test_token_shards_round_trip(spark, corpus, tmp_path):
 # the pipeline
 
 
+def test_near_duplicate_stage_equals_brute_force_jaccard(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    texts = [None, "", " ", "one two", "One  TWO"]
+    for g, n in enumerate((6, 12, 40, 90, 300, 900)):
+        base = prose(g, n).split()
+        for edits in (0, 1, 1, 2, 2, 3, 4, 5, 6, 8):
+            own = list(base)
+            for i in range(edits * max(1, n // 100)):
+                own[rng.randrange(n)] = f"x{g}{edits}{i}"
+            texts.append(" ".join(own))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert 10 < len(set(root)) < len(texts) - 10
+    found = corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), DATA)
+    assert sorted(r["doc_id"] for r in found.collect()) == sorted(set(root))
+    nulls = spark.createDataFrame([(None, "a b", "x", True), (None, "a b", "x", True), (None, "c", "x", True), (4, "C", "x", True)], DOCS)
+    assert sorted(map(str, (r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, nulls, DATA).collect()))) == ["4", "None"]
+    assert corpus_pipeline.drop_near_duplicates(spark, nulls.limit(0), DATA).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
