@@ -213,6 +213,8 @@ def compare_bucket(length: int, gram: int):
         pdf, contexts = pdf.iloc[rows], contexts[rows]
         most, least = np.full(len(rows), -1), np.full(len(rows), reach + 1)
         for offset, at, hashes in window_hashes(contexts, pdf["left"].to_numpy(), pdf["right"].to_numpy(), length, gram):
+            if not len(at):
+                continue
             by = np.argsort(hashes, kind="stable")
             equal = hashes[by][1:] == hashes[by][:-1]
             found = at[by[np.concatenate([[False], equal]) | np.concatenate([equal, [False]])]]
