@@ -4,8 +4,9 @@ A token is a word or one of its leading parts of 3 to 7 letters, so that a stem
 counts in all its inflections and compounds. Learning counts, by class, the
 labelled texts that hold a token. A token's log-odds between the classes get an
 informative Dirichlet prior (its count over both classes, scaled down by
-PRIOR_SHARE), and only those of at least LEAST_ODDS whose z-score clears the
-universal threshold sqrt(2 ln m) for m tokens tried count. A word scores the best of its tokens; any other word costs a small
+PRIOR_SHARE and split by the classes' shares, so that it shrinks towards zero),
+and only those whose z-score clears the universal threshold sqrt(2 ln m) for m
+tokens tried count. A word scores the best of its tokens; any other word costs a small
 drift, so that the expected score of clean text is negative. A linear scan then finds all maximal segments of a text, each a
 passage whose score no extension or trimming improves. Under clean text segment
 scores follow an extreme-value law: with lambda the positive root of
@@ -38,7 +39,6 @@ from pyspark.sql import functions as F
 
 FIT_ROWS = 20_000
 PRIOR_SHARE = 0.1
-LEAST_ODDS = 3.0
 LEAST_TEXTS = 5
 PREFIXES = range(3, 8)
 CACHED_WORDS = 500_000
@@ -89,11 +89,12 @@ def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict
     for token, seen in toxic.items():
         if seen < LEAST_TEXTS:
             continue
-        prior = PRIOR_SHARE * (seen + clean[token])
-        in_toxic, in_clean = seen + prior, clean[token] + prior
-        size = PRIOR_SHARE * (n_toxic + n_clean)
-        delta = np.log(in_toxic / (n_toxic + size - in_toxic + 1)) - np.log(in_clean / (n_clean + size - in_clean + 1))
-        if delta >= LEAST_ODDS and delta / np.sqrt(1 / in_toxic + 1 / in_clean) >= z_least:
+        prior = PRIOR_SHARE * (seen + clean[token]) / (n_toxic + n_clean)  # by each class's share: alone, it gives no odds
+        in_toxic, in_clean = seen + prior * n_toxic, clean[token] + prior * n_clean
+        size = 1 + PRIOR_SHARE
+        cells = np.array([in_toxic, n_toxic * size - in_toxic + 1, in_clean, n_clean * size - in_clean + 1])
+        delta = np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3])
+        if delta / np.sqrt((1 / cells).sum()) >= z_least:
             out[token] = float(delta)
     return out
 
@@ -202,7 +203,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sums = rows.mapInPandas(count, "token string, clean long, toxic long, n long").groupBy("token").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "n")))
     # tokens of several toxic texts of the bounded sample, and the row of totals
-    found = sums.where(f"token IS NULL OR toxic >= {LEAST_TEXTS} AND toxic * 4 >= clean").toPandas()
+    found = sums.where(f"token IS NULL OR toxic >= {LEAST_TEXTS}").toPandas()
     totals = found[found["token"].isna()].sum(numeric_only=True)
     found = found.dropna(subset="token")
     toxic, clean = (Counter(dict(zip(found["token"], found[c].astype(int), strict=True))) for c in ("toxic", "clean"))

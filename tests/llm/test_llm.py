@@ -75,6 +75,17 @@ def test_toxicity_finds_planted_words(spark):
     assert toxicity.score(table, toxicity.learn(table, labels.limit(0))).first()["toxicity"]["score"] == 0.0
 
 
+@pytest.mark.parametrize("share", [0.05, 0.3, 0.5])
+def test_toxicity_at_any_share_of_labels(spark, share):
+    n, rng = 1200, random.Random(1)
+    bad = [i < share * n for i in range(n)]
+    texts = [f"{prose(i, 40)} {rng.choice(['grukk', 'zorbel'])} {rng.choice(['grukk', 'zorbel'])} {prose(n + i, 20)}" if b else prose(i, 62) for i, b in enumerate(bad)]
+    table, labels = docs(spark, texts), spark.createDataFrame([(i, int(b)) for i, b in enumerate(bad)], "doc_id long, toxic int")
+    model = toxicity.learn(table, labels)
+    assert {"grukk ", "zorbel "} <= set(model.weights) and not any(t.startswith("w") for t in model.weights)
+    assert [r["p"] for r in toxicity.score(table, model).orderBy("doc_id").selectExpr("toxicity.predicted p").collect()] == [int(b) for b in bad]
+
+
 # 3: SimHash
 
 
@@ -292,6 +303,24 @@ def test_near_duplicate_stage_equals_brute_force_jaccard(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, nulls.limit(0), DATA).count() == 0
 
 
+def test_passage_stage_cuts_over_50_words(spark):
+    import corpus_pipeline
+
+    own = lambda seed, n: [f"q{seed}x{i}" for i in range(n)]
+    short = lambda n, k: [f"é{chr(97 + (i * k) % 26)}{i % 7}" for i in range(n)]
+    p51, p58, p65, p50 = short(51, 3), short(58, 5), short(65, 7), short(50, 11)
+    words = [own(0, 30) + p51 + own(1, 9), p51 + own(2, 70), own(3, 80) + p58, own(4, 5) + p58 + own(5, 5) + p65, p65, own(6, 9) + p50, p50 + own(7, 60), own(8, 60), own(8, 60), [], own(9, 300) + p65 + own(10, 200)]
+    starts = {}
+    for w in words:
+        for i in range(len(w) - 50):
+            starts[tuple(w[i : i + 51])] = starts.get(tuple(w[i : i + 51]), 0) + 1
+    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeated_passages(spark, docs(spark, [*map(" ".join, words), None]), DATA).collect()}
+    for i, w in enumerate(words):
+        gone = {j + k for j in range(len(w) - 50) if starts[tuple(w[j : j + 51])] > 1 for k in range(51)}
+        assert found[i].split() == [x for j, x in enumerate(w) if j not in gone]
+    assert found[0].split() == own(0, 30) + own(1, 9) and found[5].split() == words[5] and found[len(words)] is None
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
