@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -75,6 +76,15 @@ def test_toxicity_finds_planted_words(spark):
     assert toxicity.score(table, toxicity.learn(table, labels.limit(0))).first()["toxicity"]["score"] == 0.0
 
 
+@pytest.mark.parametrize("share", [0.05, 0.3, 0.5])
+def test_log_odds_at_any_share(share):
+    n = 4000
+    toxic, clean = int(n * share), n - int(n * share)
+    seen = {"rare": toxic // 5, "both": toxic // 5, "even": toxic // 5}
+    found = toxicity.log_odds(Counter(seen), Counter({"both": clean // 50, "even": clean // 5}), toxic, clean)
+    assert set(found) == {"rare", "both"} and found["rare"] > 3 > found["both"] > 2
+
+
 @pytest.mark.parametrize("share", [0.05, 0.3, 0.5])
 def test_toxicity_at_any_share_of_labels(spark, share):
     n, rng = 1200, random.Random(1)
