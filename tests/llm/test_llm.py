@@ -197,8 +197,9 @@ def test_packing_covers_and_fits(spark, corpus):
 # 7: repeated passages
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_suffix_dedup_equals_brute_force(spark, hot):
+@pytest.mark.parametrize("bucket_rows", [8_192, 2])
+def test_suffix_dedup_equals_brute_force(spark, bucket_rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", bucket_rows)  # of two rows: nearly all suffixes are compared across boundaries
     rng = random.Random(5)
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     passage, other = text(90), text(60) + "é"
@@ -210,8 +211,8 @@ def test_suffix_dedup_equals_brute_force(spark, hot):
     for d in data:
         for i in range(len(d) - n + 1):
             starts[d[i : i + n]] = starts.get(d[i : i + n], 0) + 1
-    found = {r["doc_id"]: r for r in suffix_dedup.deduplicated(docs(spark, texts), n, gram=16, hot_contexts=hot).collect()}
-    cut = {r["doc_id"]: r["text"] for r in suffix_dedup.rewritten(docs(spark, texts), n, gram=16, hot_contexts=hot).collect()}
+    found = {r["doc_id"]: r for r in suffix_dedup.deduplicated(docs(spark, texts), n, passage=30, gram=12).collect()}
+    cut = {r["doc_id"]: r["text"] for r in suffix_dedup.rewritten(docs(spark, texts), n, gram=16).collect()}
     for i, d in enumerate(data):
         gone = np.zeros(len(d), bool)
         for j in range(len(d) - n + 1):
