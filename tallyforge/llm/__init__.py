@@ -1,7 +1,7 @@
 """Training-data operators: search, filters, dedup, tokenizing and packing as Spark jobs.
 
 Nothing outside this subpackage imports it. Functions that run inside Python
-workers are pickled by value, so executors need no copy of the package.
+workers, and what they are sent, are pickled by value, so executors need no copy of the package.
 """
 
 import sys

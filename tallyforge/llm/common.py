@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
+    """A new folder below ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a temporary one; a cluster has to set it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         if "dir" not in _OWN:
             _OWN["dir"] = tempfile.mkdtemp(prefix="tallyforge-")
             atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
@@ -29,6 +33,19 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
 
 
+class Shared:
+    """A broadcast of an object of bounded size. It is pickled by value, so executors need no copy of this package; a worker unpickles it once."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if not hasattr(self.sent, "unpickled"):
+            self.sent.unpickled = cloudpickle.loads(self.sent.value)
+        return self.sent.unpickled
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{work_dir(df.sparkSession)}/{name}"

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shared
+
 BUCKETS = 1 << 16
 ORDERS = 3
 MAX_LANGUAGES = 512
@@ -140,7 +142,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """All columns of ``docs`` and the predicted language with its posterior probability."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Shared(docs.sparkSession, model)
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

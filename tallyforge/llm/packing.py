@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Shared, stored
 from .vocabularies import Lazy
 
 CAPACITY = 2048
@@ -159,7 +159,7 @@ def packed(docs: DataFrame, vocabulary: Lazy, end_id: int = 0, capacity: int = C
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sent = spark.sparkContext.broadcast(vocabulary)
+    sent = Shared(spark, vocabulary)
     pieces = stored(rows.mapInPandas(cut_pieces(sent, end_id, capacity), PIECE.format(id=rows.schema["id"].dataType.simpleString())), "pieces")
     counts = stored(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, stored
+from .common import Shared, hash_sample, stored
 from .components import components
 
 SEED = 42
@@ -172,7 +172,7 @@ def linked_fingerprints(spark: SparkSession, distinct: DataFrame, radius: int, l
     rows = distinct.count()
     sample = hash_sample(distinct, ["fp"], SAMPLE_ROWS).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     forest = Forest(sample, rows, radius, leaf_rows)
-    sent = spark.sparkContext.broadcast(forest)  # at most 2 * PARTS * SAMPLE_ROWS / LEAST_SAMPLE nodes
+    sent = Shared(spark, forest)  # at most 2 * PARTS * SAMPLE_ROWS / LEAST_SAMPLE nodes
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

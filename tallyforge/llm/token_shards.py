@@ -1,21 +1,25 @@
 """Token-id shards with keyed access through minimal perfect hashing.
 
-Writing: rows are range-partitioned by key and sorted, so shards follow key
-order. Each task tokenizes its rows and emits self-contained segments: the raw
-ids (unsigned little-endian, 16 bits if the vocabulary allows, else 32), the
-keys in order with the offset of each, and an index. The index is a minimal perfect
-hash of the keys: levels of bit vectors, where a key takes the first level whose
-bit it alone hashes to; the rank of the bit is the key's slot, which holds a
-fingerprint (to turn away keys that are not there) and the place of its
-document. A keyed access is a hash or two, a rank and a slice, whatever the size.
-
-Segments are rows of a Parquet folder, written by Spark's own committer: any
-store Spark can write will do, and a lost executor's attempt leaves nothing behind.
+Writing: rows are range-partitioned by key (and a hash of the text, so that one
+key's documents can be split) and sorted, so shards follow key order. Each task
+tokenizes its rows and emits segments of about SEGMENT_TOKENS ids: the raw ids
+(unsigned little-endian, 16 bits if the vocabulary allows, else 32) with the keys
+in order and the offset of each document. Segments are rows of a Parquet folder,
+written by Spark's own committer: any store Spark can write will do, and a lost
+executor's attempt leaves nothing behind.
+
+The index is a second folder, of parts of about INDEX_KEYS keys each, dealt out by
+a hash of the key. A part holds a minimal perfect hash of its keys: levels of bit
+vectors, where a key takes the first level whose bit it alone hashes to; the
+rank of the bit is the key's slot, which holds a fingerprint (to turn away keys
+that are not there) and the places of its documents (shard, segment, first and last
+document). A keyed access is a hash or two, a rank and a slice of one
+segment, whatever the size of the corpus.
 
 Defined results for odd input: a null or empty text is a document of the end id
-alone; null keys come first and are kept under the least long; repeated keys share
-a slot that spans all their documents, ordered by text; an empty table writes an
-empty folder. Only the named columns are read.
+alone; null keys come first and are in no index; repeated keys share a slot that
+spans all their documents, in order of a hash of the text; an empty table writes
+empty folders, which read as no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -26,17 +30,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import Shared, shuffle_partitions
 from .vocabularies import Lazy
 
-SEGMENT_TOKENS = 8_000_000
+SEGMENT_TOKENS = 1 << 18
+INDEX_KEYS = 1 << 18
+PART_BYTES = 64 << 20
 BATCH_TEXTS = 256
 LOAD = 1.7
-NULL_KEY = -(2**63)
-SCHEMA = "part int, segment int, first_key long, last_key long, n_docs long, n_tokens long, width int, keys binary, offsets binary, level_sizes array<long>, bits binary, fingerprints binary, first binary, ids binary"
+MOST_FILTERED = 1000
+PAYLOAD = "part int, segment int, before long, n_docs long, n_tokens long, width int, nulls int, keys binary, offsets binary, ids binary"
+INDEX = "shard int, level_sizes array<long>, bits binary, fingerprints binary, spans binary, places binary"
 
 
 def key_hash(keys: np.ndarray, level: int) -> np.ndarray:
@@ -88,23 +95,14 @@ class PerfectHash:
         return out
 
 
-def segment_row(part: int, number: int, keys: list[int], documents: list[bytes], width: int) -> dict:
-    """A segment of documents (ids as 32-bit little-endian bytes) in key order."""
-    own = np.array(keys, np.int64)
-    lengths = np.fromiter((len(d) // 4 for d in documents), np.int64, len(documents))
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    distinct = own[starts]
-    index = PerfectHash.build(distinct)
-    slot = index.slot(distinct)
-    first, marks = np.zeros((len(distinct), 2), "<i8"), np.zeros(len(distinct), "<u2")
-    first[slot] = np.column_stack([starts, np.append(starts[1:], len(own))])
-    marks[slot] = fingerprint(distinct)
+def segment_row(part: int, number: int, before: int, keys: list[int | None], documents: list[bytes], width: int) -> dict:
+    """A segment of documents (ids as 32-bit little-endian bytes) in key order, nulls first."""
+    nulls = keys.count(None)
+    offsets = np.cumsum([0, *(len(d) // 4 for d in documents)], dtype="<i8")
     ids = np.frombuffer(b"".join(documents), "<u4")
     return {
-        "part": part, "segment": number, "first_key": keys[0], "last_key": keys[-1], "n_docs": len(own), "n_tokens": len(ids), "width": width,
-        "keys": own.astype("<i8").tobytes(), "offsets": offsets.astype("<i8").tobytes(), "level_sizes": index.sizes, "bits": index.bits.tobytes(),
-        "fingerprints": marks.tobytes(), "first": first.tobytes(), "ids": ids.astype("<u2" if width == 2 else "<u4").tobytes(),
+        "part": part, "segment": number, "before": before, "n_docs": len(keys), "n_tokens": len(ids), "width": width, "nulls": nulls,
+        "keys": np.array([0] * nulls + keys[nulls:], "<i8").tobytes(), "offsets": offsets.tobytes(), "ids": ids.astype("<u2" if width == 2 else "<u4").tobytes(),
     }
 
 
@@ -114,108 +112,135 @@ class Segment:
     def __init__(self, row):
         self.keys = np.frombuffer(row["keys"], "<i8")
         self.offsets = np.frombuffer(row["offsets"], "<i8")
-        self.index = PerfectHash([int(x) for x in row["level_sizes"]], np.frombuffer(row["bits"], np.uint8))
-        self.marks = np.frombuffer(row["fingerprints"], "<u2")
-        self.first = np.frombuffer(row["first"], "<i8").reshape(-1, 2)
-        self.ids = np.frombuffer(row["ids"], "<u2" if row["width"] == 2 else "<u4")
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First document and the one after the last of each key; -1 for keys that aren't there."""
-        slot = self.index.slot(keys)
-        known = (slot >= 0) & (self.marks[slot] == fingerprint(keys))
-        span = np.where(known[:, None], self.first[slot], -1)
-        known &= self.keys[span[:, 0]] == keys  # the key itself settles what a fingerprint leaves open
-        return np.where(known, span[:, 0], -1), np.where(known, span[:, 1], -1)
+        self.data, self.width = memoryview(row["ids"]), row["width"]
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.offsets[i] : self.offsets[i + 1]].astype("<u4")
+        own = self.data[self.offsets[i] * self.width : self.offsets[i + 1] * self.width]
+        return np.frombuffer(own, "<u2" if self.width == 2 else "<u4").astype("<u4")
+
+
+def key_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, part, segment, first, last): the documents of each key in each segment."""
+    for pdf in batches:
+        for row in pdf.to_dict("records"):
+            own = np.frombuffer(row["keys"], "<i8")[row["nulls"] :]
+            if not len(own):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            last = np.append(first[1:], len(own))
+            yield pd.DataFrame({"key": own[first], "part": row["part"], "segment": row["segment"], "first": (first + row["nulls"]).astype(np.int32), "last": (last + row["nulls"]).astype(np.int32)})
+
+
+def index_part(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The index of the keys of one shard."""
+    pdf = pdf.sort_values(["key", "part", "segment"])
+    keys = pdf["key"].to_numpy(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    distinct = keys[first]
+    index = PerfectHash.build(distinct)
+    slot = index.slot(distinct)
+    spans, marks = np.zeros((len(distinct), 2), "<i4"), np.zeros(len(distinct), "<u2")
+    spans[slot] = np.column_stack([first, np.append(first[1:], len(keys))])
+    marks[slot] = fingerprint(distinct)
+    places = pdf[["part", "segment", "first", "last"]].to_numpy("<i4")
+    return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "level_sizes": index.sizes, "bits": index.bits.tobytes(), "fingerprints": marks.tobytes(), "spans": spans.tobytes(), "places": np.ascontiguousarray(places).tobytes()}])
+
+
+def find_places(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """(key, part, segment, first, last) of the asked keys whose fingerprint is in the index."""
+    out = pd.DataFrame({"key": np.zeros(0, np.int64), **{c: np.zeros(0, np.int32) for c in ("part", "segment", "first", "last")}})
+    for row in index.to_dict("records") if len(asked) else ():
+        keys = asked["key"].to_numpy(np.int64)
+        slot = PerfectHash([int(x) for x in row["level_sizes"]], np.frombuffer(row["bits"], np.uint8)).slot(keys)
+        known = (slot >= 0) & (np.frombuffer(row["fingerprints"], "<u2")[slot] == fingerprint(keys))
+        span = np.frombuffer(row["spans"], "<i4").reshape(-1, 2)[slot[known]]
+        n = span[:, 1] - span[:, 0]
+        at = np.repeat(span[:, 0] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        places = np.frombuffer(row["places"], "<i4").reshape(-1, 4)[at]
+        out = pd.DataFrame({"key": np.repeat(keys[known], n), **{c: places[:, j] for j, c in enumerate(("part", "segment", "first", "last"))}})
+    return out
+
+
+def shard_of(key, shards: int):
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")
 
 
 def write_shards(docs: DataFrame, vocabulary: Lazy, end_id: int, path: str, vocabulary_size: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the ids of all texts, each with the end id, in ascending key order."""
+    """Write the ids of all texts, each with the end id, in ascending key order, and the index of the keys."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(vocabulary)
+    sent = Shared(spark, vocabulary)
     width = 2 if vocabulary_size <= 1 << 16 else 4
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, number, keys, documents, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, number, before, keys, documents, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
         for pdf in batches:
-            for at in range(0, len(pdf), BATCH_TEXTS):
-                some = pdf.iloc[at : at + BATCH_TEXTS]
-                for key, ids in zip(some["key"].tolist(), sent.value.encoded(some["text"].tolist()), strict=True):
-                    keys.append(key)
+            own, texts, null = pdf["key"].tolist(), pdf["text"].tolist(), pdf["no_key"].tolist()
+            for at in range(0, len(own), BATCH_TEXTS):
+                some = slice(at, at + BATCH_TEXTS)
+                for key, ids, none in zip(own[some], sent.value.encoded(texts[some]), null[some], strict=True):
+                    keys.append(None if none else key)
                     documents.append(ids + end)
                     size += len(ids) // 4 + 1
                     if size >= SEGMENT_TOKENS:
-                        yield pd.DataFrame([segment_row(part, number, keys, documents, width)])
-                        number, keys, documents, size = number + 1, [], [], 0
+                        yield pd.DataFrame([segment_row(part, number, before, keys, documents, width)])
+                        number, before, keys, documents, size = number + 1, before + size, [], [], 0
         if keys:
-            yield pd.DataFrame([segment_row(part, number, keys, documents, width)])
+            yield pd.DataFrame([segment_row(part, number, before, keys, documents, width)])
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(shuffle_partitions(spark), "key").sortWithinPartitions("key", "text")
-    ordered.mapInPandas(write, SCHEMA).write.parquet(path)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    key = F.col(id_col).cast("long")
+    rows = docs.select(key.isNotNull().alias("keyed"), key.alias("own"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    order = ["keyed", "own", "hash"]
+    ordered = rows.repartitionByRange(max(shuffle_partitions(spark), -(-size // PART_BYTES)), *order).sortWithinPartitions(*order)
+    ordered.select(F.coalesce("own", F.lit(0)).alias("key"), (~F.col("keyed")).alias("no_key"), "text").mapInPandas(write, PAYLOAD).write.parquet(f"{path}/payload")
 
-
-def segment_starts(spark: SparkSession, path: str) -> DataFrame:
-    """(part, segment, base): the number of ids before each segment."""
-    totals = spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n"), F.min("first_key").alias("first_key")).orderBy("first_key", "part").collect()  # a row for each range partition
-    before, bases = 0, []
-    for row in totals:
-        bases.append((row["part"], before))
-        before += row["n"]
-    own = spark.createDataFrame(bases, "part int, part_base long")
-    before = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = spark.read.parquet(path).select("part", "segment", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("n"))
-    return sizes.join(own, "part").select("part", "segment", (F.col("part_base") + F.col("n")).alias("base"))
+    payload = spark.read.schema(PAYLOAD).parquet(f"{path}/payload")
+    shards = max(1, -(-(payload.agg(F.sum("n_docs")).first()[0] or 0) // INDEX_KEYS))
+    runs = payload.select("part", "segment", "nulls", "keys").mapInPandas(key_runs, "key long, part int, segment int, first int, last int")
+    runs.withColumn("shard", shard_of("key", shards)).groupBy("shard").applyInPandas(index_part, INDEX).write.parquet(f"{path}/index")
 
 
 def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, each read through the index by its key."""
+    """(id, start, n_tokens, ids_crc32) of every document in the files."""
+    payload = spark.read.schema(PAYLOAD).parquet(f"{path}/payload")
+    totals = payload.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row for each range partition
+    bases = dict(zip((r["part"] for r in totals), np.cumsum([0, *(r["n"] for r in totals)])[:-1].tolist(), strict=True))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 segment = Segment(row)
-                keys = np.unique(segment.keys)
-                low, high = segment.find(keys)
-                at = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
-                crc = [zlib.crc32(segment.document(i)) for i in at.tolist()]
-                offsets = segment.offsets
-                key = segment.keys[at]
-                out = pd.DataFrame({"id": pd.array(key, "Int64"), "start": offsets[at] + row["base"], "n_tokens": offsets[at + 1] - offsets[at], "ids_crc32": crc})
-                out.loc[key == NULL_KEY, "id"] = pd.NA
+                n, offsets = row["n_docs"], segment.offsets
+                crc = [zlib.crc32(segment.document(i)) for i in range(n)]
+                out = pd.DataFrame({"id": pd.array(segment.keys, "Int64"), "start": offsets[:-1] + row["before"] + bases[row["part"]], "n_tokens": np.diff(offsets), "ids_crc32": crc})
+                out.loc[: row["nulls"] - 1, "id"] = pd.NA
                 yield out
 
-    segments = spark.read.parquet(path).join(F.broadcast(segment_starts(spark, path)), ["part", "segment"])  # a few numbers for each segment of millions of ids
-    return segments.mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return payload.mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, ids) of the documents of ``keys``: each key goes to the segments whose key range holds it and reads a slice."""
-    bounds = spark.read.parquet(path).select("first_key", "last_key", "part", "segment").orderBy("first_key", "last_key").toPandas()  # a row for each segment of millions of ids
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            own = pdf["key"].to_numpy(np.int64)
-            low = np.searchsorted(bounds["last_key"].to_numpy(), own, "left")
-            high = np.searchsorted(bounds["first_key"].to_numpy(), own, "right")
-            times = np.maximum(high - low, 0)
-            at = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            yield pd.DataFrame({"key": np.repeat(own, times), "part": bounds["part"].to_numpy()[at], "segment": bounds["segment"].to_numpy()[at]})
-
-    wanted = keys.select(F.col(id_col).cast("long").alias("key")).where("key IS NOT NULL").distinct()
-    routed = wanted.mapInPandas(route, "key long, part int, segment int")
+    """(id, ids) of the documents of ``keys``: a key's index part gives its segments, whose slices are read."""
+    payload, index = spark.read.schema(PAYLOAD).parquet(f"{path}/payload"), spark.read.schema(INDEX).parquet(f"{path}/index")
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    shards = max(shards, -(-(payload.agg(F.sum("n_docs")).first()[0] or 0) // INDEX_KEYS))
+    wanted = keys.select(F.col(id_col).cast("long").alias("key")).where("key IS NOT NULL").distinct().withColumn("shard", shard_of("key", shards))
+    places = index.join(wanted.select("shard").distinct(), "shard", "left_semi").groupBy("shard").cogroup(wanted.groupBy("shard")).applyInPandas(find_places, "key long, part int, segment int, first int, last int")
 
     def fetch(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in rows.to_dict("records") if len(asked) else ():
             segment = Segment(row)
-            own = asked["key"].to_numpy(np.int64)
-            for key, a, b in zip(own.tolist(), *segment.find(own), strict=True):
-                out += [(key, segment.document(i).astype(np.int64).tolist()) for i in range(a, b)] if a >= 0 else []
-        return pd.DataFrame(out, columns=["id", "ids"])
-
-    files = spark.read.parquet(path).join(routed.select("part", "segment").distinct(), ["part", "segment"], "left_semi")
-    return files.groupBy("part", "segment").cogroup(routed.groupBy("part", "segment")).applyInPandas(fetch, "id long, ids array<long>").withColumnRenamed("id", id_col)
+            for key, a, b in zip(asked["key"].tolist(), asked["first"].tolist(), asked["last"].tolist(), strict=True):
+                if segment.keys[a] == key:  # settles what a fingerprint leaves open
+                    out += [(key, segment.document(i).astype(np.int64).tolist()) for i in range(a, b)]
+        return pd.DataFrame(out, columns=["id", "ids"]).astype({"id": "int64"})
+
+    at = ["part", "segment"]
+    parts = [r[0] for r in places.select("part").distinct().limit(MOST_FILTERED + 1).collect()]
+    if len(parts) <= MOST_FILTERED:  # few files: the scan leaves out the others
+        payload = payload.where(F.col("part").isin(parts))
+    files = payload.join(places.select(*at).distinct(), at, "left_semi")
+    return files.groupBy(*at).cogroup(places.groupBy(*at)).applyInPandas(fetch, "id long, ids array<long>").withColumnRenamed("id", id_col)

@@ -37,6 +37,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shared
+
 FIT_ROWS = 20_000
 PRIOR_SHARE = 0.1
 LEAST_TEXTS = 5
@@ -209,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic, clean = (Counter(dict(zip(found["token"], found[c].astype(int), strict=True))) for c in ("toxic", "clean"))
     weights = log_odds(toxic, clean, int(totals["toxic"]), int(totals["clean"]))
     model = Model(weights, decay(weights, clean, int(totals["n"])) if weights else 1.0)
-    weighted = spark.sparkContext.broadcast(model)
+    weighted = Shared(spark, model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = [(*weighted.value.features(weighted.value.passages(text)[1]), label) for text, label in labelled(batches)]
@@ -225,7 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """``docs`` and a struct: score, predicted, passages (begin, end, normalised score, the words' text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Shared(docs.sparkSession, model)
 
     @F.pandas_udf("score double, predicted int, passages array<struct<begin:int,end:int,score:double>>")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -63,42 +63,82 @@ class ByteLevelBpe(Lazy):
         return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
 
 
+#: Letters up to U+024F and what they become in lower case, as a class of a pattern: such a class is matched faster than one of categories.
+LETTERS = "".join(sorted({x for c in range(0x250) for x in chr(c) + chr(c).lower() if x.isalpha()}))
+
+
+class Memory(dict):
+    """Ids by chunk; a chunk that isn't known is noted and gives nothing."""
+
+    def __init__(self):
+        super().__init__()
+        self.unknown: set[str] = set()
+
+    def __missing__(self, chunk: str) -> bytes:
+        self.unknown.add(chunk)
+        return b""
+
+
 class WordBpe(Lazy):
     """A lower-casing BPE file with word ends, of the tokenizers library.
 
-    The file drops white space and encodes each word by itself, so words are
-    looked up in a memory of bounded size, which the library fills. Texts with
-    characters whose normalization isn't plain lower-casing go through the
-    library whole.
+    The file drops white space and encodes each word by itself, so what stands
+    between white space is looked up in a memory of bounded size, which the
+    library fills word by word. Texts with characters whose normalization isn't
+    plain lower-casing go through the library whole.
     """
 
-    REMEMBERED = 1_000_000
+    REMEMBERED = 500_000
     #: Fixed value: the words of the file's pre-tokenizer, for texts that PLAIN matches.
-    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+    WORDS = re.compile(rf"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|\d|[^\s\d{LETTERS}]+")
     #: Letters up to U+024F but the dotted capital I; no fraction or superscript digits, no rare white space.
     PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]*")
 
     def build(self):
         from tokenizers import Tokenizer
 
-        self.built = Tokenizer.from_str(self.content), {}
+        self.built = Tokenizer.from_str(self.content), Memory(), {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encoded([text])[0], np.uint32)
 
+    def remember(self) -> None:
+        """Add the ids of the unknown chunks, from those of their words."""
+        library, known, words = self.built
+        split = {c: self.WORDS.findall(c) for c in known.unknown}
+        new = list({w for own in split.values() for w in own if w not in words})
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            found = library.encode(" ".join(part), add_special_tokens=False)
+            ids, cuts = np.array(found.ids, "<u4"), np.flatnonzero(np.diff(found.word_ids)) + 1
+            if len(cuts) + 1 != len(part):
+                raise ValueError("the file's words are not those of WORDS")
+            words.update(zip(part, (x.tobytes() for x in np.split(ids, cuts)), strict=True))
+        for chunk, own in split.items():
+            known[chunk] = b"".join(map(words.__getitem__, own))
+        known.unknown.clear()
+
     def encoded(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if self.built is None:
             self.build()
-        library, known = self.built
-        split = [self.WORDS.findall(t.lower()) if "<|" not in t and self.PLAIN.fullmatch(t) else None for t in texts]
-        new = list({w for words in split if words for w in words if w not in known})
-        if len(known) + len(new) > self.REMEMBERED:
+        library, known, words = self.built
+        if len(known) > self.REMEMBERED:
             known.clear()
-            new = list({w for words in split if words for w in words})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, found in zip(part, library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        look = known.__getitem__
-        return [b"".join(map(look, words)) if words is not None else np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, words in zip(texts, split, strict=True)]
+        if len(words) > self.REMEMBERED:
+            words.clear()
+        look, out, again = known.__getitem__, [], []
+        for i, text in enumerate(texts):
+            if "<|" in text or not self.PLAIN.fullmatch(text):
+                out.append(np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            before = len(known.unknown)
+            chunks = text.lower().split()
+            out.append(b"".join(map(look, chunks)))
+            if known.unknown and (len(known.unknown) > before or not known.unknown.isdisjoint(chunks)):
+                again.append((i, chunks))
+        if again:
+            self.remember()
+            for i, chunks in again:
+                out[i] = b"".join(map(look, chunks))
+        return out

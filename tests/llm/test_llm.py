@@ -1,9 +1,13 @@
 """Training-data operators against brute force, on small tables with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -14,6 +18,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm import byte_bpe, language_id, oracles, packing, queries, simhash_dedup, spotsigs, suffix_dedup, token_shards, topk_search, toxicity, url_filter, vocabularies
 
 DATA = "/root/testdata/sf0.001"
+REPO = Path(__file__).resolve().parents[2]
 DOCS = "doc_id long, text string, score string, guest boolean"
 
 
@@ -267,22 +272,57 @@ def test_url_rules_and_odd_urls(spark):
 # 10: token shards
 
 
-def test_token_shards_round_trip(spark, corpus, tmp_path):
+def test_token_shards_round_trip(spark, corpus, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(token_shards, "SEGMENT_TOKENS", 5_000)
+    monkeypatch.setattr(token_shards, "INDEX_KEYS", 64)
     path, file = str(tmp_path / "shards"), public_tokenizers.path("word_bpe_49k.json")
-    odd = docs(spark, [None, "", "It's 42 <|endoftext|> ÀÉ ǅ ½"], 5_000_000)
-    table = corpus.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(odd.select("doc_id", "text").limit(1))
+    odd = docs(spark, [None, "", "It's 42 <|endoftext|> ÀÉ ǅ ½", "ƁƊ'sȺ\u2c65x'll 1a_b"], 5_000_000).select("doc_id", "text")
+    far = spark.createDataFrame([(-(2**63), "least"), (None, "no id"), (None, None), (2**63 - 1, "most"), *((77_777_777, f"copy {i % 40}") for i in range(120))], "doc_id long, text string")
+    table = corpus.select("doc_id", "text").unionByName(odd).unionByName(odd.limit(1)).unionByName(far)
     token_shards.write_shards(table, vocabularies.WordBpe.read(file), 2, path, vocabulary_size=49_408)
-    found = token_shards.read_documents(spark, path).orderBy("doc_id", "start").collect()
-    library, start = Tokenizer.from_file(file), 0
-    for r, own in zip(sorted(table.collect(), key=lambda r: (r["doc_id"], r["text"] or "")), found, strict=True):
-        ids = np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
-        assert tuple(own) == (r["doc_id"], start, len(ids), zlib.crc32(ids.tobytes()))
-        start += len(ids)
-    asked = spark.createDataFrame([(0,), (7,), (5_000_000,), (-3,), (None,)], "doc_id long")
-    got = token_shards.lookup(spark, path, asked).groupBy("doc_id").count().collect()
-    assert {tuple(r) for r in got} == {(0, 1), (7, 1), (5_000_000, 2)}
+    found = token_shards.read_documents(spark, path).orderBy("start").collect()
+    library, rows = Tokenizer.from_file(file), table.collect()
+    ids_of = lambda t: np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+    wanted = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, len(ids := ids_of(r["text"])), zlib.crc32(ids.tobytes())) for r in rows))
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in found) == wanted
+    assert [r["start"] for r in found] == np.cumsum([0, *(r["n_tokens"] for r in found)])[:-1].tolist()
+    keys = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in found]
+    assert keys == sorted(keys)
+    asked = spark.createDataFrame([(0,), (7,), (5_000_000,), (-3,), (None,), (-(2**63),), (2**63 - 1,), (77_777_777,)], "doc_id long")
+    got = token_shards.lookup(spark, path, asked).collect()
+    assert Counter(r["doc_id"] for r in got) == {0: 1, 7: 1, 5_000_000: 2, -(2**63): 1, 2**63 - 1: 1, 77_777_777: 120}
+    assert {tuple(r["ids"]) for r in got if r["doc_id"] == 0} == {tuple(ids_of(next(r["text"] for r in rows if r["doc_id"] == 0)).tolist())}
+    none = str(tmp_path / "none")
+    token_shards.write_shards(table.limit(0), vocabularies.WordBpe.read(file), 2, none, vocabulary_size=49_408)
+    assert token_shards.read_documents(spark, none).count() == 0 and token_shards.lookup(spark, none, asked).count() == 0
+
+
+def test_word_memory_equals_the_library():
+    from tokenizers import Tokenizer
+
+    file, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(0)
+    own, library = vocabularies.WordBpe.read(file), Tokenizer.from_file(file)
+    letters = [chr(c) for c in range(0x250) if own.PLAIN.fullmatch(chr(c))]
+    texts = ["".join(rng.choice(letters) if rng.random() < 0.5 else rng.choice("ab' s.,1tre_\n") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    assert own.encoded(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """The package is on the driver's path only, by sys.path, which workers don't inherit."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(REPO)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+from tallyforge.llm import queries
+for name in ("op2_toxicity", "op3_simhash_dedup", "op5_language_id", "op6_packing", "op10_token_shards"):
+    assert queries.queries()[name](spark, {DATA!r}).count() >= 200
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
 
 
 # the pipeline
