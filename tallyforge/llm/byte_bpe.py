@@ -10,11 +10,13 @@ comparison). Decoding concatenates the binary pieces of the ids.
 
 All of it is narrow: a task's texts go through splitting, encoding and digest
 in runs of bounded size, nothing is shuffled, and nothing depends on how many
-different words the corpus has. A word that a task has met in an earlier run
-isn't encoded again.
+different words the corpus has. A task remembers the words it has met, up to
+REMEMBERED of them, and doesn't encode them again. The COMMON commonest words of
+a sample of SAMPLE_ROWS texts are encoded beforehand, once for all tasks; which
+words those are only decides what is encoded twice, never a result.
 
 Defined results for odd input: null texts are empty and have no ids; repeated
-rows are encoded each time; null ids pass through. Only the named columns are read.
+rows are encoded each time; ids of any type, null or not, pass through. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +34,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import Shared, hash_sample, let
+from .vocabularies import LETTERS
 
 RUN_CHARS = 2_000_000
+REMEMBERED = 400_000
+COMMON = 131_072
+SAMPLE_ROWS = 16_384
+WORDS_A_ROW = 2_048
 EDGE = 0xFFFF
 NONE = 0x1_0000
 BUCKET_PAIRS = 4
@@ -161,68 +170,127 @@ def decoded(encoded: Column, ranks: dict[bytes, int]) -> Column:
     return let(table, lambda t: F.transform(encoded, lambda ids: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t, i)), ""))))
 
 
-def runs_of_words(pattern: str):
-    """Texts to runs: ids of the documents, the word numbers of each, and the task's new words as hex."""
+#: Texts for which the quick pattern finds what the rank file's own one does.
+PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*")
+QUICK = re.compile(rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
+
+
+def splitter(pattern: str, quick: bool = True):
+    """A function from a text to its words; ``quick``: texts that PLAIN matches go through QUICK."""
     #: White space as the rank files' own library has it, without the four separators that Python adds.
     split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-    quick = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-    plain = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*")  # where both patterns agree
+    return lambda text: (QUICK if quick and PLAIN.fullmatch(text) else split).findall(text)
+
+
+class Numbers(dict):
+    """Numbers by word; a new word gets the next one."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def count_words(pattern: str):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of = splitter(pattern)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for at in range(0, len(texts), 512):
+                found = Counter(w for t in texts[at : at + 512] for w in words_of(t or ""))
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+
+    return count
+
+
+def runs_of_words(pattern: str, common):
+    """Texts to runs: ids of the documents, the word numbers of each, the task's new words as bytes, and whether the numbers begin again."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        words_of, often = splitter(pattern), common.value[0]
+        known, restart = Numbers(zip(often, range(len(often)), strict=True)), True
         for batch in batches:
-            rows: list[tuple] = []
-            size, first = 0, len(known)
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                text = text or ""
-                words = (quick if plain.fullmatch(text) else split).findall(text)
-                rows.append((doc, np.array([known.setdefault(w, len(known)) for w in words], "<u4").tobytes()))
-                size += len(text)
-                if size >= RUN_CHARS:
-                    yield run(rows, known, first)
-                    rows, size, first = [], 0, len(known)
-            if rows:
-                yield run(rows, known, first)
-
-    def run(rows: list[tuple], known: dict[str, int], first: int) -> pa.RecordBatch:
-        new = [w.encode() for w in list(known)[first:]]
-        ends = np.cumsum([0, *map(len, new)], dtype=np.int32)
-        words = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(new), np.uint8).astype(np.int64))
-        whole = lambda x: pa.ListArray.from_arrays(np.array([0, len(x)], np.int32), x)
-        ids, numbers = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())
-        return pa.RecordBatch.from_arrays([whole(ids), whole(numbers), whole(words)], ["ids", "numbers", "words"])
+            numbers, size, first, begin = [], 0, len(known), 0
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                numbers.append(np.array(list(map(known.__getitem__, words_of(text or ""))), "<u4").tobytes())
+                size += len(text or "")
+                if size >= RUN_CHARS or i == batch.num_rows - 1:
+                    new = [w.encode() for w in islice(known, first, None)]
+                    ends = np.cumsum([0, *map(len, new)], dtype=np.int32)
+                    words = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(new), np.uint8).astype(np.int64))
+                    whole = lambda x: pa.ListArray.from_arrays(np.array([0, len(x)], np.int32), x)
+                    columns = [whole(batch.column("id").slice(begin, len(numbers))), whole(pa.array(numbers, pa.binary())), whole(words), pa.array([restart])]
+                    yield pa.RecordBatch.from_arrays(columns, ["ids", "numbers", "words", "restart"])
+                    numbers, size, begin, restart = [], 0, i + 1, False
+                    if len(known) > len(often) + REMEMBERED:
+                        known, restart = Numbers(zip(often, range(len(often)), strict=True)), True
+                    first = len(known)
 
     return runs
 
 
-def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of each document, from its words' ids and bytes."""
-    ids, pieces, counts = [], [], np.zeros(0, np.int64)
-    for batch in batches:
-        docs, numbers, encoded, data = (batch.column(c) for c in ("ids", "numbers", "encoded", "decoded"))
-        for i in range(batch.num_rows):
-            new, values = encoded[i].values, None
-            if len(new):
-                ends = new.offsets.to_numpy() - new.offsets[0].as_py()
-                values = new.flatten().to_numpy().astype("<u4").tobytes()
-                ids += [values[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                counts = np.concatenate([counts, np.diff(ends)])
-                pieces += data[i].values.to_pylist()
-            rows = []
-            for words in numbers[i].values.to_pylist():
-                own = np.frombuffer(words, "<u4")
-                at = own.tolist()
-                rows.append((int(counts[own].sum()), hashlib.sha256(b"".join(map(ids.__getitem__, at))).hexdigest(), hashlib.sha256(b"".join(map(pieces.__getitem__, at))).hexdigest()))
-            n, x, y = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([docs[i].values, pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+def word_codes(encoded: pa.ListScalar, decoded: pa.ListScalar) -> tuple[list[bytes], list[bytes]]:
+    """The ids of each word as little-endian unsigned 32-bit integers, and its bytes."""
+    new = encoded.values
+    if not len(new):
+        return [], []
+    ends = (new.offsets.to_numpy() - new.offsets[0].as_py()).tolist()
+    values = new.flatten().to_numpy().astype("<u4").tobytes()
+    return [values[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], decoded.values.to_pylist()
+
+
+def digests(common):
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, n_tokens, ids_sha256, decoded_sha256) of each document, from its words' ids and bytes."""
+        _, often_ids, often_pieces = common.value
+        ids, pieces = list(often_ids), list(often_pieces)
+        for batch in batches:
+            docs, numbers, encoded, data, restart = (batch.column(c) for c in ("ids", "numbers", "encoded", "decoded", "restart"))
+            for i in range(batch.num_rows):
+                if restart[i].as_py():
+                    del ids[len(often_ids) :], pieces[len(often_ids) :]
+                more = word_codes(encoded[i], data[i])
+                ids += more[0]
+                pieces += more[1]
+                rows = []
+                for words in numbers[i].values.to_pylist():
+                    at = np.frombuffer(words, "<u4").tolist()
+                    own = b"".join(map(ids.__getitem__, at))
+                    rows.append((len(own) // 4, hashlib.sha256(own).hexdigest(), hashlib.sha256(b"".join(map(pieces.__getitem__, at))).hexdigest()))
+                n, x, y = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([docs[i].values, pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digest
+
+
+def coded(words: DataFrame, ranks: dict[bytes, int], table: RankTable) -> DataFrame:
+    """``words`` with encoded, the ids of each of its array of words, and decoded, the bytes of those."""
+    kept = [c for c in words.columns if c != "words"]
+    both = words.select(*kept, merged_ids(F.col("words"), ranks, table).alias("encoded"))
+    return both.select("*", decoded(F.col("encoded"), ranks).alias("decoded"))
+
+
+def common_words(rows: DataFrame, ranks: dict[bytes, int], table: RankTable, pattern: str) -> tuple[list[str], list[bytes], list[bytes]]:
+    """At most COMMON words with their ids and bytes."""
+    counts = hash_sample(rows, ["id"], SAMPLE_ROWS).select("text").mapInArrow(count_words(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    often = [r["word"] for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(COMMON).select("word").collect()]
+    parts = [(i, [list(w.encode()) for w in often[i : i + WORDS_A_ROW]]) for i in range(0, len(often), WORDS_A_ROW)]
+    if not parts:
+        return [], [], []
+    spark = rows.sparkSession
+    dealt = spark.createDataFrame(parts, "at int, words array<array<long>>").repartition(len(parts), "at")
+    ids, pieces = [], []
+    for r in coded(dealt, ranks, table).orderBy("at").collect():
+        ids += [np.array(x, "<u4").tobytes() for x in r["encoded"]]
+        pieces += map(bytes, r["decoded"])
+    return often, ids, pieces
 
 
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every text."""
     table = RankTable(pair_ranks(ranks))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    runs = rows.mapInArrow(runs_of_words(pattern), "ids array<long>, numbers array<binary>, words array<array<long>>")
-    words = runs.select("ids", "numbers", merged_ids(F.col("words"), ranks, table).alias("encoded"))
-    both = words.select("ids", "numbers", "encoded", decoded(F.col("encoded"), ranks).alias("decoded"))
-    found = both.mapInArrow(digests, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    common = Shared(docs.sparkSession, common_words(rows, ranks, table, pattern))
+    runs = rows.mapInArrow(runs_of_words(pattern, common), f"ids array<{kind}>, numbers array<binary>, words array<array<long>>, restart boolean")
+    found = coded(runs, ranks, table).mapInArrow(digests(common), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return found.select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256")

@@ -232,18 +232,34 @@ def test_suffix_dedup_equals_brute_force(spark, bucket_rows, monkeypatch):
 # 8: byte-level BPE
 
 
-def test_byte_bpe_equals_tiktoken(spark, corpus):
+@pytest.mark.parametrize("remembered", [400_000, 0])
+def test_byte_bpe_equals_tiktoken(spark, corpus, remembered, monkeypatch):
     import tiktoken
 
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", remembered)
+    monkeypatch.setattr(byte_bpe, "RUN_CHARS", 20_000)
+    monkeypatch.setattr(byte_bpe, "SAMPLE_ROWS", 20)
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    odd = [None, "", " ", "a", "aaaa" * 40, "<|endoftext|> it's  x\x1cy", "日本語 😀 naïve", "\n\n\t x  ", "0123456789 ²³½"]
-    table = docs(spark, odd, 1_000_000).select("doc_id", "text").unionByName(corpus.select("doc_id", "text").where("doc_id < 30"))
-    found = {r["doc_id"]: r for r in byte_bpe.encoded(table, ranks, public_tokenizers.PATTERN).collect()}
+    odd = [None, "", " ", "a", "aaaa" * 40, "<|endoftext|> it's  x\x1cy", "日本語 😀 naïve", "\n\n\t x  ", "0123456789 ²³½", prose(9, 30_000), "long" * 500]
+    rows = [(str(i), t) for i, t in enumerate(odd)] + [("3", "a"), (None, "no id")]
+    own = corpus.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text").where("doc_id NOT IN ('d1')").limit(60)
+    table = spark.createDataFrame(rows, "doc_id string, text string").unionByName(own)
+    found = Counter(tuple(r) for r in byte_bpe.encoded(table, ranks, public_tokenizers.PATTERN).collect())
+    wanted = Counter()
     for r in table.collect():
         ids = np.array(library.encode_ordinary(r["text"] or ""), "<u4").tobytes()
-        own = found[r["doc_id"]]
-        assert (own["n_tokens"], own["ids_sha256"], own["decoded_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())
+        wanted[r["doc_id"], len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()] += 1
+    assert found == wanted
+    assert byte_bpe.encoded(table.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_quick_pattern_equals_the_rank_files_own():
+    letters = [chr(c) for c in range(0x250) if byte_bpe.PLAIN.fullmatch(chr(c))]
+    own, slow, rng = byte_bpe.splitter(public_tokenizers.PATTERN), byte_bpe.splitter(public_tokenizers.PATTERN, quick=False), random.Random(4)
+    assert len(letters) > 500
+    texts = [x + y + z for x in "a 1.'" for y in letters for z in "b 2,'"] + ["".join(rng.choice(letters) if rng.random() < 0.5 else rng.choice("a' st.1\n") for _ in range(30)) for _ in range(2000)]
+    assert all(own(t) == slow(t) for t in texts)
 
 
 # 9: URL filter
