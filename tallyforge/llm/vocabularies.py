@@ -88,7 +88,7 @@ class WordBpe(Lazy):
     plain lower-casing go through the library whole.
     """
 
-    REMEMBERED = 500_000
+    REMEMBERED = 1_200_000
     #: Fixed value: the words of the file's pre-tokenizer, for texts that PLAIN matches.
     WORDS = re.compile(rf"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|\d|[^\s\d{LETTERS}]+")
     #: Letters up to U+024F but the dotted capital I; no fraction or superscript digits, no rare white space.
@@ -97,36 +97,36 @@ class WordBpe(Lazy):
     def build(self):
         from tokenizers import Tokenizer
 
-        self.built = Tokenizer.from_str(self.content), Memory(), {}
+        self.built = Tokenizer.from_str(self.content), Memory()
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encoded([text])[0], np.uint32)
 
     def remember(self) -> None:
-        """Add the ids of the unknown chunks, from those of their words."""
-        library, known, words = self.built
+        """Add the ids of the unknown chunks, from those of their words, which are chunks themselves."""
+        library, known = self.built
         split = {c: self.WORDS.findall(c) for c in known.unknown}
-        new = list({w for own in split.values() for w in own if w not in words})
+        new = list({w for own in split.values() for w in own if w not in known})
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             found = library.encode(" ".join(part), add_special_tokens=False)
             ids, cuts = np.array(found.ids, "<u4"), np.flatnonzero(np.diff(found.word_ids)) + 1
             if len(cuts) + 1 != len(part):
                 raise ValueError("the file's words are not those of WORDS")
-            words.update(zip(part, (x.tobytes() for x in np.split(ids, cuts)), strict=True))
+            data, ends = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
+            known.update((w, data[a:b]) for w, a, b in zip(part, ends[:-1], ends[1:], strict=True))
         for chunk, own in split.items():
-            known[chunk] = b"".join(map(words.__getitem__, own))
+            if len(own) != 1:
+                known[chunk] = b"".join(map(known.__getitem__, own))
         known.unknown.clear()
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if self.built is None:
             self.build()
-        library, known, words = self.built
+        library, known = self.built
         if len(known) > self.REMEMBERED:
             known.clear()
-        if len(words) > self.REMEMBERED:
-            words.clear()
         look, out, again = known.__getitem__, [], []
         for i, text in enumerate(texts):
             if "<|" in text or not self.PLAIN.fullmatch(text):
