@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from .common import Shared, hash_sample, let
 from .vocabularies import LETTERS
 
-RUN_CHARS = 2_000_000
-REMEMBERED = 400_000
-COMMON = 131_072
+RUN_CHARS = 500_000
+REMEMBERED = 300_000
+COMMON = 65_536
 SAMPLE_ROWS = 16_384
 WORDS_A_ROW = 2_048
 EDGE = 0xFFFF
@@ -202,6 +202,13 @@ def count_words(pattern: str):
     return count
 
 
+def word_bytes(words: list[str]) -> pa.ListArray:
+    """The bytes of each word, as longs."""
+    data = [w.encode() for w in words]
+    ends = np.cumsum([0, *map(len, data)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(data), np.uint8).astype(np.int64))
+
+
 def runs_of_words(pattern: str, common):
     """Texts to runs: ids of the documents, the word numbers of each, the task's new words as bytes, and whether the numbers begin again."""
 
@@ -214,9 +221,7 @@ def runs_of_words(pattern: str, common):
                 numbers.append(np.array(list(map(known.__getitem__, words_of(text or ""))), "<u4").tobytes())
                 size += len(text or "")
                 if size >= RUN_CHARS or i == batch.num_rows - 1:
-                    new = [w.encode() for w in islice(known, first, None)]
-                    ends = np.cumsum([0, *map(len, new)], dtype=np.int32)
-                    words = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(new), np.uint8).astype(np.int64))
+                    words = word_bytes(list(islice(known, first, None)))
                     whole = lambda x: pa.ListArray.from_arrays(np.array([0, len(x)], np.int32), x)
                     columns = [whole(batch.column("id").slice(begin, len(numbers))), whole(pa.array(numbers, pa.binary())), whole(words), pa.array([restart])]
                     yield pa.RecordBatch.from_arrays(columns, ["ids", "numbers", "words", "restart"])
@@ -272,16 +277,17 @@ def coded(words: DataFrame, ranks: dict[bytes, int], table: RankTable) -> DataFr
 def common_words(rows: DataFrame, ranks: dict[bytes, int], table: RankTable, pattern: str) -> tuple[list[str], list[bytes], list[bytes]]:
     """At most COMMON words with their ids and bytes."""
     counts = hash_sample(rows, ["id"], SAMPLE_ROWS).select("text").mapInArrow(count_words(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    often = [r["word"] for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(COMMON).select("word").collect()]
-    parts = [(i, [list(w.encode()) for w in often[i : i + WORDS_A_ROW]]) for i in range(0, len(often), WORDS_A_ROW)]
-    if not parts:
+    often = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(COMMON).select("word").toArrow().column("word").to_pylist()
+    if not often:
         return [], [], []
-    spark = rows.sparkSession
-    dealt = spark.createDataFrame(parts, "at int, words array<array<long>>").repartition(len(parts), "at")
+    parts = [often[i : i + WORDS_A_ROW] for i in range(0, len(often), WORDS_A_ROW)]
+    dealt = rows.sparkSession.createDataFrame(pa.table({"at": pa.array(range(len(parts)), pa.int32()), "words": pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)], dtype=np.int32), word_bytes(often))})).repartition(len(parts), "at")
     ids, pieces = [], []
-    for r in coded(dealt, ranks, table).orderBy("at").collect():
-        ids += [np.array(x, "<u4").tobytes() for x in r["encoded"]]
-        pieces += map(bytes, r["decoded"])
+    found = coded(dealt, ranks, table).orderBy("at").toArrow()
+    for x, y in zip(found.column("encoded"), found.column("decoded"), strict=True):
+        more = word_codes(x, y)
+        ids += more[0]
+        pieces += more[1]
     return often, ids, pieces
 
 
