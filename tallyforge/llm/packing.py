@@ -4,10 +4,12 @@
    pieces are written once, numbered within task and length.
 2. The histogram of lengths (at most ``capacity`` rows) goes to the driver. The
    configuration program asks for the fewest sequences whose patterns cover all
-   counts; multiplicative weights solve it: prices start in proportion to
-   length, the best pattern at current prices comes from a knapsack dynamic
-   program, and lengths that patterns have covered get cheaper. The fractional
-   solution is rounded down; what is left is packed by best fit, in bulk.
+   counts; multiplicative weights solve it: a length's price is its weight over
+   its count, the dearest pattern comes from a knapsack dynamic program, and
+   what patterns have covered loses weight. Rounds end at the gap to the dual's
+   bound or after ROUNDS. The fractional solution is rounded down; what is left
+   is packed by best fit, in bulk, and where best fit alone needs fewer
+   sequences, it is taken.
 3. A piece's rank among its length is the number in its task plus that of earlier
    tasks; the patterns' slots, a bounded table, give its sequence and offset.
 
@@ -32,11 +34,9 @@ from .common import Shared, stored
 from .vocabularies import Lazy
 
 CAPACITY = 2048
-ROUNDS = 400
-STEP = 0.5
-ETA = 4.0
-LAG = 0.02
-LONG = 0.5
+ROUNDS = 300
+RATE = 0.2
+GAP = 0.002
 PIECE = "id {id}, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
@@ -68,29 +68,35 @@ def best_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> Coun
     return pattern
 
 
-def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """(pattern, times) of a fractional cover that takes no length beyond its count, by multiplicative weights."""
+def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """(pattern, times) of a fractional cover, and a lower bound of the program, by multiplicative weights.
+
+    The program: the fewest sequences, in fractions of patterns, that cover every length's count. Its dual prices
+    lengths so that no pattern is dearer than 1. Each length has a weight, and its price is the weight over its count,
+    at first in proportion to the length. A round buys the dearest pattern as often as its scarcest length
+    allows, and a length's weight falls by exp(-RATE) for each time that its count is covered. What the prices give
+    for all pieces, over the dearest pattern, bounds the program from below; the cover is the purchases over the
+    least cover. Rounds end where the two are within GAP of each other.
+    """
     lengths = np.array(sorted(histogram))
     counts = np.array([histogram[n] for n in lengths.tolist()], float)
     at = {n: i for i, n in enumerate(lengths.tolist())}
-    covered = np.zeros(len(lengths))
-    weights = np.ones(len(lengths))
+    prices, covered, bound = lengths / capacity, np.zeros(len(lengths)), 0.0
     times: dict[tuple, float] = {}
     for _ in range(rounds):
-        open_ = covered < 1 - 1e-9
-        if not open_.any():
-            break
-        # the price of the program's dual is the share of a sequence; what lags behind in cover is worth more, long pieces first
-        prices = np.where(open_, lengths / capacity * (1 + LAG * weights / weights.max()) + LONG * (lengths / capacity) ** 2, -1.0)
         pattern = best_pattern(lengths, prices, capacity)
-        own = [at[n] for n in pattern]
-        used = np.array(list(pattern.values()), float)
-        step = STEP * (counts[own] * (1 - covered[own]) / used).min()
+        own, used = [at[n] for n in pattern], np.array(list(pattern.values()), float)
+        bound = max(bound, float(prices @ counts / (prices[own] @ used)))
+        step = float((counts[own] / used).min())
         key = tuple(sorted(pattern.items()))
         times[key] = times.get(key, 0.0) + step
         covered[own] += step * used / counts[own]
-        weights[own] *= np.exp(-ETA * step * used / counts[own])
-    return [(dict(p), t) for p, t in times.items()]
+        prices[own] *= np.exp(-RATE * step * used / counts[own])
+        if covered.min() > 0 and sum(times.values()) / covered.min() <= (1 + GAP) * bound:
+            break
+    # lengths that no purchase reached yet leave the cover open; what it lacks is packed by best fit
+    scale = max(1.0, covered.min())
+    return [(dict(p), t / scale) for p, t in times.items()], bound
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -112,18 +118,31 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     return [(dict(p), k) for groups in rooms.values() for p, k in groups]
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """(pattern, times): whole patterns that hold exactly the histogram's pieces."""
-    left = {n: c for n, c in histogram.items() if 0 < n < capacity and c}
-    out = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
-    for pattern, times in fractional(left, capacity, rounds) if left else []:
-        if whole := int(times):
+def rounded(cover: list[tuple[dict[int, int], float]], histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The cover's patterns, most used first, in whole numbers that take no length beyond its count; best fit for what is left."""
+    left, out = dict(histogram), []
+    for pattern, times in sorted(cover, key=lambda x: -x[1]):
+        whole = min(int(times + 1e-9), *(left[n] // k for n, k in pattern.items()))
+        if whole:
             out.append((pattern, whole))
             for n, k in pattern.items():
                 left[n] -= whole * k
     return out + best_fit(left, capacity)
 
 
+def sequences(solution: list[tuple[dict[int, int], int]]) -> int:
+    return sum(times for _, times in solution)
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+    """(pattern, times): whole patterns that hold exactly the histogram's pieces, never more than best fit alone takes."""
+    left = {n: c for n, c in histogram.items() if 0 < n < capacity and c}
+    full = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
+    if not left:
+        return full
+    return full + min(rounded(fractional(left, capacity, rounds)[0], left, capacity), best_fit(left, capacity), key=sequences)
+
+
 def slots(solution: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     """By length: rows (first rank, copies in a sequence, first sequence, offset) in order of rank."""
     rows: dict[int, list] = {}
@@ -166,7 +185,8 @@ def packed(docs: DataFrame, vocabulary: Lazy, end_id: int = 0, capacity: int = C
     table = spark.sparkContext.broadcast(slots(solve(histogram, capacity)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
+    # a row for each task and length grows with the tasks: never broadcast
+    ranked = pieces.join(bases.hint("merge"), ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
