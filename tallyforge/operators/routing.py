@@ -22,17 +22,26 @@ def reasons(*rules: tuple[Column, str]) -> Column:
 def token_scores(rows: DataFrame, key: str, text: str, vocabulary: list[tuple[str, str, str, int]]) -> DataFrame:
     """(key, domain, score): words of a text against (token, domain, exact or stem, weight) rules; each rule counts once a text.
 
-    Words are distinct per row before the join, and exact rules and stems of one length are equalities, so the join hashes.
+    The rules are a constant, so a row's words are matched where they stand: a rule's number is looked up by the word and
+    by its leading parts of the stems' lengths, and nothing is shuffled before the sum. Rows of one key are one text.
     """
-    spark = rows.sparkSession
-    words = rows.select(key, F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("word")).where("word <> ''")
-    rules = spark.createDataFrame(vocabulary, "token string, domain string, kind string, weight int")  # the rule table is a constant
-    exact = words.join(F.broadcast(rules.where("kind = 'exact'")), F.col("word") == F.col("token"))
-    lengths = sorted({len(v[0]) for v in vocabulary if v[2] == "stem"})
-    heads = words.select(key, F.explode(F.array(*(F.substring("word", 1, n) for n in lengths))).alias("word")) if lengths else words.limit(0)
-    stems = heads.join(F.broadcast(rules.where("kind = 'stem'")), F.col("word") == F.col("token"))
-    hits = exact.unionByName(stems).select(key, "token", "domain", "weight").distinct()
-    return hits.groupBy(key, "domain").agg(F.sum("weight").alias("score"))
+    numbered = {kind: {} for kind in ("exact", "stem")}
+    for i, (token, _, kind, _) in enumerate(vocabulary):
+        numbered[kind].setdefault(token, []).append(i)
+    lengths = sorted({len(t) for t in numbered["stem"]})
+
+    def look(kind: str, word: Column) -> Column:
+        out = F.lit(None).cast("array<int>")
+        if numbered[kind]:
+            out = F.element_at(F.create_map(*(x for t, own in numbered[kind].items() for x in (F.lit(t), F.array(*map(F.lit, own))))), word)
+        return F.coalesce(out, F.array().cast("array<int>"))
+
+    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
+    wanted = F.filter(words, lambda w: (w != "") & (w.isin(list(numbered["exact"])) | (F.substring(w, 1, lengths[0]).isin(sorted({t[: lengths[0]] for t in numbered["stem"]})) if lengths else F.lit(False))))
+    hits = F.flatten(F.transform(wanted, lambda w: F.concat(look("exact", w), *(look("stem", F.when(F.length(w) >= n, F.substring(w, 1, n))) for n in lengths))))
+    found = rows.select(key, F.explode(F.array_distinct(hits)).alias("__rule"))
+    domain, weight = F.array(*(F.lit(v[1]) for v in vocabulary)), F.array(*(F.lit(v[3]) for v in vocabulary))
+    return found.groupBy(key, F.get(domain, F.col("__rule")).alias("domain")).agg(F.sum(F.get(weight, F.col("__rule"))).alias("score"))
 
 
 def ranked_domains(scores: DataFrame, key: str, within: int = 20, least: int = 35, most: int = 2) -> DataFrame:

@@ -65,14 +65,16 @@ def fifo_matches(rows: DataFrame, group: str, order: list[str], is_buy: Column,
     """
     side = F.when(is_buy, "buy").otherwise("sell")
     w = Window.partitionBy(group, "side").orderBy(*order, ref).rowsBetween(Window.unboundedPreceding, 0)
-    ends = rows.withColumn("side", side).withColumn("upto", F.sum(quantity).over(w)).where(F.col(quantity) > 0)
-    line = Window.partitionBy(group).orderBy("upto")
+    # lots of nothing, or less, are no lots
+    ends = rows.where(F.col(quantity) > 0).withColumn("side", side).withColumn("upto", F.sum(quantity).over(w))
+    line = Window.partitionBy(group).orderBy(F.desc("upto"))
     cuts = ends.groupBy(group, "upto").agg(F.max(F.when(F.col("side") == "buy", F.col(ref))).alias("buy"), F.max(F.when(F.col("side") == "sell", F.col(ref))).alias("sell"))
-    after = line.rowsBetween(0, Window.unboundedFollowing)
+    # from the far end: the last end met so far, in a frame that only grows
+    met = line.rowsBetween(Window.unboundedPreceding, 0)
     found = cuts.withColumns({
-        "from": F.coalesce(F.lag("upto").over(line), F.lit(0)),
-        "buy_ref": F.first("buy", ignorenulls=True).over(after),
-        "sell_ref": F.first("sell", ignorenulls=True).over(after),
+        "from": F.coalesce(F.lead("upto").over(line), F.lit(0)),
+        "buy_ref": F.last("buy", ignorenulls=True).over(met),
+        "sell_ref": F.last("sell", ignorenulls=True).over(met),
     })
     return found.where("buy_ref IS NOT NULL AND sell_ref IS NOT NULL").select(group, "buy_ref", "sell_ref", (F.col("upto") - F.col("from")).alias("matched"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregation, joining, normalizing, routing, selection, sequencing, storing
+from . import aggregation, costing, joining, normalizing, routing, selection, sequencing, storing, surface
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregation", "joining", "normalizing", "routing", "selection", "sequencing", "storing"]
+__all__ = ["ORACLES", "QUERIES", "aggregation", "costing", "joining", "normalizing", "routing", "selection", "sequencing", "storing", "surface"]
