@@ -117,3 +117,20 @@ def set_coverage(selected: DataFrame, decided: DataFrame, no_fact: DataFrame, ke
         F.count_if(F.expr("s IS NULL")).alias("unselected"),
     )
     return counts.withColumn("complete", F.expr("uncovered + in_both + unselected = 0"))
+
+
+def overlap_totals(spans: DataFrame, group: str, low: str, high: str) -> DataFrame:
+    """(group, pairs, length): ordered pairs of closed integer intervals that meet, each with itself, and the length they share.
+
+    Two intervals meet unless one ends before the other begins, so pairs are all n * n less twice those: for each begin, the
+    ends before it, a running count. The shared length is the sum over unit steps of the square of how many
+    intervals cover the step; the number only changes at cut points, which are counted once a group before any window.
+    """
+    marks = spans.select(group, F.explode(F.array(F.struct(F.col(low).alias("at"), F.lit(1).alias("begins"), F.lit(0).alias("ends")), F.struct(F.col(high).alias("at"), F.lit(0).alias("begins"), F.lit(1).alias("ends")))).alias("m"))
+    cuts = marks.groupBy(group, "m.at").agg(F.sum("m.begins").alias("begins"), F.sum("m.ends").alias("ends"))
+    w = Window.partitionBy(group).orderBy("at")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    open_ = F.sum(F.col("begins") - F.col("ends")).over(upto)
+    steps = cuts.withColumns({"ended": F.coalesce(F.sum("ends").over(before), F.lit(0)), "open": open_, "width": F.coalesce(F.lead("at").over(w) - F.col("at"), F.lit(0))})
+    sums = steps.groupBy(group).agg(F.sum("begins").alias("n"), F.sum(F.col("begins") * F.col("ended")).alias("apart"), F.sum(F.col("open") * F.col("open") * F.col("width")).alias("length"))
+    return sums.select(group, (F.col("n") * F.col("n") - 2 * F.col("apart")).alias("pairs"), "length")

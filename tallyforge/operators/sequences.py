@@ -153,7 +153,7 @@ def median_lines(df: DataFrame, group: str, top: str, ordinal: str, tolerance: f
         out = []
         for x in pdf[top].tolist():
             for i in range(len(lines) - 1, -1, -1):
-                if abs(x - sorted(lines[i])[len(lines[i]) // 2]) <= tolerance:
+                if abs(x - lines[i][len(lines[i]) // 2]) <= tolerance:  # tops ascend, so a line is in order
                     lines[i].append(x)
                     out.append(i)
                     break

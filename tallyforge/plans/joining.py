@@ -65,15 +65,13 @@ def adjacency_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("conv_id", F.col("l.turn").alias("turn"), (F.length("r.text") - F.length("l.text")).cast("long").alias("growth"))
 
 
-@query("""WITH s AS (SELECT l_suppkey, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS low, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) AS high FROM lineitem WHERE l_quantity <= 3)
-SELECT a.l_suppkey, count(*) AS overlaps, CAST(sum(date_diff('day', greatest(a.low, b.low), least(a.high, b.high))) AS BIGINT) AS days FROM s a JOIN s b ON a.l_suppkey = b.l_suppkey AND a.low <= b.high AND b.low <= a.high GROUP BY a.l_suppkey""")
+@query("""WITH s AS (SELECT l_suppkey, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS low, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS INTEGER) AS high FROM lineitem)
+SELECT a.l_suppkey, count(*) AS overlaps, CAST(sum(least(a.high, b.high) - greatest(a.low, b.low)) AS BIGINT) AS days FROM s a JOIN s b ON a.l_suppkey = b.l_suppkey AND a.low <= b.high AND b.low <= a.high GROUP BY a.l_suppkey""")
 def interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping intervals of a group, met in buckets of time."""
+    """Overlapping pairs of a group's intervals, each with itself too, and the days they share: sums over cut points, no pair is listed."""
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01"))
-    spans = Tables(spark, sf_dir).lineitem.where("l_quantity <= 3").select("l_suppkey", day.alias("low"), (day + F.col("l_quantity").cast("int")).alias("high"))
-    met = J.boxes_touching(spans, spans, "l_suppkey", "low", "high", 8)
-    shared = F.least("l_high", "r_high") - F.greatest("l_low", "r_low")
-    return met.groupBy(F.col("l_l_suppkey").alias("l_suppkey")).agg(F.count("*").alias("overlaps"), F.sum(shared).cast("long").alias("days"))
+    spans = Tables(spark, sf_dir).lineitem.select("l_suppkey", day.alias("low"), (day + F.col("l_quantity").cast("int")).alias("high"))
+    return J.overlap_totals(spans, "l_suppkey", "low", "high").select("l_suppkey", F.col("pairs").alias("overlaps"), F.col("length").alias("days"))
 
 
 @query("""WITH b AS (SELECT p_partkey, p_brand, p_type, CAST(p_size AS DOUBLE) AS x0, p_size + 5.0 AS x1, 0.0 AS y0, 10.0 + p_partkey % 5 AS y1 FROM part)

@@ -70,13 +70,13 @@ def rate_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", *S.band_charge(orders, "base", [("0", "100000", "0.13"), ("100000", "300000", "0.15"), ("300000", None, "0.22")]))
 
 
-_EDGES = "SELECT DISTINCT user_id AS a, CAST(json_extract(props, '$.k') AS BIGINT) + 1000000 AS b FROM events WHERE event_type = 'purchase' AND value > 150"
+_EDGES = "SELECT DISTINCT user_id AS a, CAST(json_extract(props, '$.k') AS BIGINT) + 1000000 AS b FROM events"
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT a, b FROM ({_EDGES}) UNION SELECT b, a FROM ({_EDGES})), r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY node""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages (users) that share a source (k), and what those share, transitively."""
-    edges = Tables(spark, sf_dir).events.where("event_type = 'purchase' AND value > 150").select(F.col("user_id").alias("a"), (F.get_json_object("props", "$.k").cast("long") + 1_000_000).alias("b")).distinct()
+    edges = Tables(spark, sf_dir).events.select(F.col("user_id").alias("a"), (F.get_json_object("props", "$.k").cast("long") + 1_000_000).alias("b")).distinct()
     return S.connected(edges, saved)
 
 
@@ -105,13 +105,19 @@ def greedy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.greedy_bins(Tables(spark, sf_dir).conversations.select("conv_id", "turn", F.length("text").alias("size")), "conv_id", "turn", "size", 1500)
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT p_brand, CAST(p_size AS DOUBLE) AS x, row_number() OVER (PARTITION BY p_brand ORDER BY p_size) AS k FROM part),
+r AS (SELECT p_brand, x, k, [x] AS total, [1] AS n, 1 AS own FROM o WHERE k = 1 UNION ALL SELECT p_brand, x, k, CASE WHEN own > len(total) THEN list_append(total, x) ELSE list_transform(total, lambda t, i: CASE WHEN i = own THEN t + x ELSE t END) END,
+CASE WHEN own > len(total) THEN list_append(n, 1) ELSE list_transform(n, lambda t, i: CASE WHEN i = own THEN t + 1 ELSE t END) END, own FROM (SELECT o.p_brand, o.x, o.k, r.total, r.n, CAST(coalesce(list_min(list_filter(generate_series(1, len(r.total)), lambda i: abs(o.x - r.total[i] / r.n[i]) <= 3.0)), len(r.total) + 1) AS INTEGER) AS own FROM r JOIN o ON o.p_brand = r.p_brand AND o.k = r.k + 1))
+SELECT p_brand, x, CAST(own - 1 AS INTEGER) AS cluster FROM r""")
 def axis_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of a brand clustered by running mean."""
     return S.running_mean_clusters(Tables(spark, sf_dir).part.select("p_brand", F.col("p_size").cast("double").alias("x")), "p_brand", "x", 3.0)
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT p_brand, p_partkey, CAST(p_size AS DOUBLE) AS x, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS k FROM part),
+r AS (SELECT p_brand, p_partkey, k, [[x]] AS lines, 1 AS own FROM o WHERE k = 1 UNION ALL SELECT p_brand, p_partkey, k, CASE WHEN own > len(lines) THEN list_append(lines, [x]) ELSE list_transform(lines, lambda l, i: CASE WHEN i = own THEN list_append(l, x) ELSE l END) END, own
+FROM (SELECT o.p_brand, o.p_partkey, o.k, o.x, r.lines, CAST(coalesce(list_max(list_filter(generate_series(1, len(r.lines)), lambda i: abs(o.x - list_sort(r.lines[i])[len(r.lines[i]) // 2 + 1]) <= 2.0)), len(r.lines) + 1) AS INTEGER) AS own FROM r JOIN o ON o.p_brand = r.p_brand AND o.k = r.k + 1))
+SELECT p_brand, p_partkey, CAST(own - 1 AS INTEGER) AS line FROM r""")
 def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a page to lines by running median of their tops (sizes stand in)."""
     return S.median_lines(Tables(spark, sf_dir).part.select("p_brand", "p_partkey", F.col("p_size").cast("double").alias("top")), "p_brand", "top", "p_partkey", 2.0)

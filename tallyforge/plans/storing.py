@@ -47,10 +47,10 @@ def container_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).pages.select("page_id", found["format"].alias("format"), found["basis"].alias("basis"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
 
 
-@query("""SELECT conv_id, string_agg('[' || turn || '.0-' || (turn + 1) || '.0] ' || role || ': ' || trim(left(text, 20)), chr(10) ORDER BY turn) AS rendered, count(*) AS segments FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg('[' || turn || '.0-' || (turn + 1) || '.0] ' || role || ': ' || trim(text), chr(10) ORDER BY turn) AS rendered, count(*) AS segments FROM conversations GROUP BY conv_id""")
 def transcript_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provider JSON built from conversations, normalized and rendered."""
-    segment = F.struct("turn", F.struct(F.substring("text", 1, 20).alias("text"), F.col("turn").cast("string").alias("start"), (F.col("turn") + 1).cast("string").alias("end"), F.col("role").alias("speaker")).alias("s"))
+    segment = F.struct("turn", F.struct(F.col("text"), F.col("turn").cast("string").alias("start"), (F.col("turn") + 1).cast("string").alias("end"), F.col("role").alias("speaker")).alias("s"))
     payloads = Tables(spark, sf_dir).conversations.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(segment)), lambda x: x["s"]).alias("segments"))).alias("payload"))
     found = payloads.select("conv_id", transcripts.normalized(F.col("payload")).alias("t"))
     return found.select("conv_id", transcripts.rendered(F.col("t.segments")).alias("rendered"), F.size("t.segments").cast("long").alias("segments"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 #: File formats by MIME type, and by leading bytes in hexadecimal.
 MIME_FORMATS = {"text/csv": "csv", "text/plain": "txt", "text/html": "html", "application/xml": "xml", "text/xml": "xml", "application/pdf": "pdf", "application/zip": "zip", "image/png": "png", "image/jpeg": "jpg"}
-MAGIC = [("25504446", "pdf"), ("504B0304", "zip"), ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpg"), ("EFBBBF3C3F786D6C", "xml"), ("3C3F786D6C", "xml"), ("3C21646F6374797065", "html"), ("3C21444F4354595045", "html"), ("3C68746D6C", "html")]
+MAGIC = [("25504446", "pdf"), ("504B0304", "zip"), ("504B0506", "zip"), ("504B0708", "zip"), ("49492A00", "tiff"), ("4D4D002A", "tiff"), ("52494646", "riff"), ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpg"), ("EFBBBF3C3F786D6C", "xml"), ("3C3F786D6C", "xml"), ("3C21646F6374797065", "html"), ("3C21444F4354595045", "html"), ("3C68746D6C", "html")]
+
+SUFFIXES = ("csv", "txt", "xml", "html", "htm", "pdf", "zip", "docx", "xlsx", "png", "jpg", "jpeg", "tif", "tiff", "json")
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -24,19 +26,21 @@ def with_missing(listing: DataFrame, read: DataFrame) -> DataFrame:
 def extension(name: Column, mime: Column) -> Column:
     """The suffix of a name, else the one that the MIME type stands for."""
     suffix = F.lower(F.regexp_extract(name, r"\.([^./\\]+)$", 1))
-    by_mime = F.element_at(F.create_map(*(F.lit(x) for kv in MIME_FORMATS.items() for x in kv)), F.lower(mime))
+    by_mime = F.element_at(F.create_map(*(F.lit(x) for kv in MIME_FORMATS.items() for x in kv)), F.trim(F.substring_index(F.lower(mime), ";", 1)))
     return F.coalesce(F.when(suffix != "", suffix), by_mime, F.lit("unknown"))
 
 
 def container(content: Column, suffix: Column) -> Column:
-    """struct(format, confidence, basis): by leading bytes, else by suffix. Office files are zips by content."""
+    """struct(format, confidence, basis): by leading bytes, else by a suffix that stands for a format, else unknown. Office files are zips by content."""
     head = F.hex(F.substring(content, 1, 9))
     by_content = F.lit(None).cast("string")
     for magic, kind in reversed(MAGIC):
         by_content = F.when(head.startswith(magic), kind).otherwise(by_content)
     office = (by_content == "zip") & suffix.isin("docx", "xlsx")
-    kind = F.when(office, suffix).otherwise(F.coalesce(by_content, suffix))
-    return F.struct(kind.alias("format"), F.when(by_content.isNotNull(), "high").otherwise("medium").alias("confidence"), F.when(by_content.isNotNull(), "content").otherwise("metadata").alias("basis"))
+    named = F.when(F.lower(suffix).isin(*SUFFIXES), F.lower(suffix))
+    kind = F.when(office, suffix).otherwise(F.coalesce(by_content, named, F.lit("unknown")))
+    confidence = F.when(by_content.isNotNull(), "high").when(named.isNotNull(), "medium").otherwise("low")
+    return F.struct(kind.alias("format"), confidence.alias("confidence"), F.when(by_content.isNotNull(), "content").when(named.isNotNull(), "metadata").otherwise("none").alias("basis"))
 
 
 def machine_readable(kind: Column) -> Column:

@@ -10,6 +10,7 @@ import csv
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -22,12 +23,19 @@ from pyspark.sql import functions as F
 MOST_BYTES = 64 << 20
 MOST_MEMBERS = 10_000
 MOST_RATIO = 200
+MOST_COLUMNS = 1_000
+MOST_CELLS = 5_000_000
+MOST_FIELD = 100_000
 
 
 class Rejected(ValueError):
     """A file that breaks a rule; the message is the error code."""
 
 
+#: What the libraries raise for members that are missing, broken or encrypted.
+DAMAGED = (KeyError, IndexError, ValueError, RuntimeError, NotImplementedError, EOFError, OSError, zlib.error, zipfile.BadZipFile, ElementTree.ParseError, expat.ExpatError)
+
+
 def decoded(df: DataFrame, decode: Callable[[bytes], Iterator[tuple]], columns: str, id_col: str = "id", content_col: str = "content") -> DataFrame:
     """(id, the columns, error): the rows that ``decode`` yields for each content, or one row with the code of the error."""
     names = [c.split()[0] for c in columns.split(", ")]
@@ -42,8 +50,12 @@ def decoded(df: DataFrame, decode: Callable[[bytes], Iterator[tuple]], columns:
                     if len(content) > MOST_BYTES:
                         raise Rejected("too_large")
                     rows, error = list(decode(bytes(content))), None
+                    if not rows:
+                        raise Rejected("no_rows")
                 except Rejected as e:
                     rows, error = [(None,) * len(names)], str(e)
+                except DAMAGED:
+                    rows, error = [(None,) * len(names)], "damaged"
                 if rows:
                     out = pd.DataFrame(rows, columns=names, dtype=object)
                     out.insert(0, "id", key)
@@ -97,6 +109,14 @@ def csv_rows(content: bytes, most_rows: int = 1_000_000) -> Iterator[tuple]:
         raise Rejected("header_blank")
     if len({c.casefold() for c in header}) < len(header):
         raise Rejected("header_repeated")
+    if len(rows) < 2:
+        raise Rejected("header_only")
+    if len(header) > MOST_COLUMNS or any(len(r) > MOST_COLUMNS for r in rows):
+        raise Rejected("too_many_columns")
+    if sum(map(len, rows)) > MOST_CELLS:
+        raise Rejected("too_many_cells")
+    if any(len(c) > MOST_FIELD for r in rows for c in r):
+        raise Rejected("field_too_long")
     if len(rows) > most_rows:
         raise Rejected("too_many_rows")
     yield from enumerate(rows)
