@@ -71,6 +71,18 @@ def ngram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return out, starts, has_letter
 
 
+def ngram_counts(text: str) -> tuple[np.ndarray, bool]:
+    """How often each bucket occurs in one text, and whether it has a letter: piece by piece, so that memory is bounded."""
+    text, counts, seen = text.lower(), np.zeros(BUCKETS, np.int64), False
+    for at in range(0, len(text), CHUNK_CHARS):
+        before = min(2, at)
+        buckets, _, has_letter = ngram_buckets([text[at - before : at + CHUNK_CHARS]])
+        # the padding counts once, and the characters before a piece were counted with it
+        counts += np.bincount(buckets[:, 2 + before if at else 0 :].ravel(), minlength=BUCKETS)
+        seen |= bool(has_letter[0])
+    return counts, seen
+
+
 def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about CHUNK_CHARS characters."""
     begin, size = 0, 0
@@ -92,6 +104,9 @@ def count_ngrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts = texts.tolist()
             total = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
             texts_of[lang] = texts_of.get(lang, 0) + len(texts)
+            for t in (t for t in texts if len(t) > CHUNK_CHARS):
+                total += ngram_counts(t)[0]
+            texts = [t for t in texts if len(t) <= CHUNK_CHARS]
             for a, b in chunks(texts):
                 total += np.bincount(ngram_buckets(texts[a:b])[0].ravel(), minlength=BUCKETS)
     for lang, total in counts.items():
@@ -111,9 +126,12 @@ class Model:
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the likeliest language, its posterior probability, and whether the text has a letter."""
         best, sure, seen = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, bool)]
-        for a, b in chunks(texts):
-            buckets, starts, has_letter = ngram_buckets(texts[a:b])
+        for a, b in chunks([t if len(t) <= CHUNK_CHARS else "" for t in texts]):
+            buckets, starts, has_letter = ngram_buckets([t if len(t) <= CHUNK_CHARS else "" for t in texts[a:b]])
             total = sum(np.add.reduceat(self.matrix[row], starts, axis=0, dtype=np.float64) for row in buckets) + self.prior
+            for i in (i for i in range(a, b) if len(texts[i]) > CHUNK_CHARS):
+                counts, has_letter[i - a] = ngram_counts(texts[i])
+                total[i - a] = counts @ self.matrix.astype(np.float64) + self.prior
             top = total.argmax(axis=1)
             best.append(top)
             sure.append(1 / np.exp(total - total[np.arange(b - a), top][:, None]).sum(axis=1))

@@ -38,6 +38,7 @@ SEED = 42
 PARTS = 4
 LEAF_ROWS = 2048
 SAMPLE_ROWS = 65_536
+MOST_SAMPLE = 1 << 20
 LEAST_SAMPLE = 8
 VANTAGES = 8
 ALL_BITS = 0xFFFF_FFFF_FFFF_FFFF
@@ -170,9 +171,9 @@ def leaf_links(radius: int, block: int = 256):
 def linked_fingerprints(spark: SparkSession, distinct: DataFrame, radius: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(node, root) components of the distinct fingerprints ``fp`` that lie within ``radius`` bits."""
     rows = distinct.count()
-    sample = hash_sample(distinct, ["fp"], SAMPLE_ROWS).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    sample = hash_sample(distinct, ["fp"], min(MOST_SAMPLE, max(SAMPLE_ROWS, rows // 64))).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     forest = Forest(sample, rows, radius, leaf_rows)
-    sent = Shared(spark, forest)  # at most 2 * PARTS * SAMPLE_ROWS / LEAST_SAMPLE nodes
+    sent = Shared(spark, forest)  # at most 2 * PARTS * MOST_SAMPLE / LEAST_SAMPLE nodes
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

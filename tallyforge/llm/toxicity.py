@@ -21,7 +21,7 @@ word of every text.
 
 Defined results for odd input: null and empty texts have no passages and get
 the curve's value for that; without labels of both classes every score is the
-share of toxic labels (0.0 without any); null labels are ignored; repeated
+share of toxic labels (0.0 without any); labels other than 0 and 1, null ones too, are ignored; repeated
 rows are learned from, and returned, each time. Only the named columns are read.
 """
 
@@ -36,6 +36,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Shared
 
@@ -177,18 +178,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the labelled rows of ``labels`` (at most ``fit_rows``) and their texts in ``docs``."""
     spark = docs.sparkSession
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(fit_rows).toPandas()  # bounded by fit_rows
+    chosen = chosen.where("label IN (0, 1)").orderBy(F.xxhash64("id"), "id", "label").limit(fit_rows).toPandas()  # bounded by fit_rows
     if chosen.empty:
         return Model(constant=0.0)
     if chosen["label"].nunique() < 2:
         return Model(constant=float(chosen["label"].iloc[0]))
-    sent = spark.sparkContext.broadcast(dict(zip(chosen["id"].tolist(), chosen["label"].tolist(), strict=True)))
+    kind = labels.schema[id_col].dataType
+    chosen = spark.createDataFrame(chosen.drop_duplicates("id", keep="last"), T.StructType([T.StructField("id", kind), T.StructField("label", T.IntegerType())]))
+    # the labelled rows are at most fit_rows
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("text", "label")
 
     def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int]]:
         for pdf in batches:
-            for doc, text in zip(pdf["id"].tolist(), pdf["text"].tolist(), strict=True):
-                if doc == doc and (label := sent.value.get(doc)) is not None:
-                    yield text or "", label
+            yield from zip(pdf["text"].tolist(), pdf["label"].tolist(), strict=True)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Texts of each class that hold a token, for one partition of the sample; under no token: texts, and words as ``n``."""
@@ -202,7 +204,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         clean, toxic = ([by_class[i][t] for t in tokens] for i in (0, 1))
         yield pd.DataFrame({"token": pd.Series([*tokens, None], dtype=object), "clean": [*clean, texts[0]], "toxic": [*toxic, texts[1]], "n": [*([0] * len(tokens)), words]})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sums = rows.mapInPandas(count, "token string, clean long, toxic long, n long").groupBy("token").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "n")))
     # tokens of several toxic texts of the bounded sample, and the row of totals
     found = sums.where(f"token IS NULL OR toxic >= {LEAST_TEXTS}").toPandas()

@@ -1,6 +1,7 @@
 """Training-data operators against brute force, on small tables with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import os
 import random
 import subprocess
@@ -74,7 +75,7 @@ def test_maximal_segments(seed):
 def test_toxicity_finds_planted_words(spark):
     bad = [prose(i, 60) + " vile rotten scum vile" for i in range(40)]
     table = docs(spark, [*bad, *(prose(100 + i, 60) for i in range(200)), None, "", "vile rotten scum"])
-    labels = spark.createDataFrame([(i, 1 if i < 40 else 0) for i in range(240) if i % 3] + [(5, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, 1 if i < 40 else 0) for i in range(240) if i % 3] + [(5, None), (6, 7), (9, -1)], "doc_id long, toxic int")
     found = {r["doc_id"]: r["toxicity"] for r in toxicity.score(table, toxicity.learn(table, labels)).collect()}
     assert len(found) == 243 and all(0 <= t["score"] <= 1 for t in found.values())
     assert all(found[i]["predicted"] == (i < 40) for i in range(240)) and found[242]["predicted"] == 1 and found[240]["predicted"] == 0
@@ -189,6 +190,39 @@ def test_language_of_held_out_documents(spark):
     assert {(r["lang_pred"], r["score"]) for r in language_id.identify(table, model, score="p").withColumnRenamed("score", "old").withColumnRenamed("p", "score").collect()} == {("und", 0.0)}
 
 
+def test_language_equals_plain_naive_bayes(spark, monkeypatch):
+    """Every n-gram hashed and added up on its own, texts cut into pieces or not."""
+    texts = [("ab ba cab", "x"), ("b\u00e4 \u00e4b1b", "y"), ("cc c! ac", "x"), ("\u0416 ab \u0416", "y"), ("", "x")]
+    table = spark.createDataFrame([*texts, (None, "x"), ("zz", None)], "text string, lang string")
+
+    def grams(text):
+        codes = [32, 32, *(c if chr(c).isalpha() else 32 for c in map(ord, text.lower()))]
+        out = []
+        for i in range(len(codes)):
+            h = 0
+            for n in range(3):
+                back = codes[i - n] if i >= n else 32
+                h = (codes[i] * 0x9E3779B1 if n == 0 else h + (back + n) * (0x85EBCA6B if n == 1 else 0xC2B2AE35)) & 0xFFFFFFFF
+                out.append(((h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 16)
+        return out
+
+    counts, rows = {"x": Counter(), "y": Counter()}, Counter(g for _, g in texts)
+    for t, g in texts:
+        counts[g].update(grams(t))
+    asked = ["ab ab", "\u0416\u0416", "cab c", "b\u00e4b " * 9]
+    wanted = []
+    for t in asked:
+        score = {g: math.log(rows[g] / 5) + sum(math.log((c[b] + language_id.SMOOTHING) / (c.total() + language_id.SMOOTHING * language_id.BUCKETS)) for b in grams(t)) for g, c in counts.items()}
+        best = max(sorted(score), key=score.get)
+        wanted.append((best, 1 / sum(math.exp(s - score[best]) for s in score.values())))
+    for piece in (1 << 20, 5, 3):
+        monkeypatch.setattr(language_id, "CHUNK_CHARS", piece)
+        model = language_id.learn(table)
+        index, sure, seen = model.score(asked)
+        assert [model.languages[i] for i in index] == [w for w, _ in wanted] and seen.all()
+        assert sure == pytest.approx([p for _, p in wanted], rel=1e-4)
+
+
 # 6: packing
 
 
