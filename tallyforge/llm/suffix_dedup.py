@@ -22,9 +22,9 @@ the sparseness.
    anchor and by what precedes it, backwards. Two windows are equal if their
    suffixes are in one run of the first order (common bytes up to the window's
    end) and one of the second (to its beginning): bytes decide, not hashes.
-4. Suffixes that begin with a splitter's gram lie on a boundary; a gram with more
-   suffixes than a bucket takes is sure to be one. They are compared across
-   buckets: every window's 128-bit digest is counted in an aggregate.
+4. All suffixes of a gram go to one bucket, but for grams that fill MOST_BUCKETS
+   or more of them: those are spread over tasks and compared across buckets, by
+   an aggregate that counts every window's 128-bit digest.
 5. Intervals are joined per distinct text. Equal texts are one text throughout,
    identified by two 64-bit hashes, and go whole if they have the length.
 
@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import stored
 
 LENGTH = 400
 GRAM = 64
@@ -56,6 +56,7 @@ POSITION_BITS = 22
 FILTER_BITS = 26
 SAMPLE_ROWS = 100_000
 BUCKET_ROWS = 8_192
+MOST_BUCKETS = 8
 SALTS = 16
 MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -287,7 +288,7 @@ def explode_windows(shape: Shape):
 
 
 def cut_suffixes(shape: Shape, splitters: np.ndarray | None):
-    """Texts with positions to suffixes with their bytes, bucket (0 without splitters) and whether they lie on a boundary."""
+    """Texts with positions to suffixes with their bytes, bucket (0 without splitters) and whether their gram spreads over several buckets."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -303,7 +304,8 @@ def cut_suffixes(shape: Shape, splitters: np.ndarray | None):
                 yield out.assign(bucket=np.int32(0), boundary=False)
             else:
                 bucket = np.searchsorted(splitters, lead, "right")
-                yield out.assign(bucket=bucket.astype(np.int32), boundary=bucket != np.searchsorted(splitters, lead, "left"))
+                spread = bucket - np.searchsorted(splitters, lead, "left")
+                yield out.assign(bucket=bucket.astype(np.int32), boundary=spread >= MOST_BUCKETS)
 
     return cut
 
@@ -328,15 +330,15 @@ def gram_filter(spark: SparkSession, texts: DataFrame, shape: Shape):
     return spark.sparkContext.broadcast(bitmap.tobytes())
 
 
-def splitter_grams(held: DataFrame, shape: Shape, suffixes: int, spark: SparkSession) -> np.ndarray:
-    """Grams that cut the suffixes into buckets of about BUCKET_ROWS, from a sample of at most about SAMPLE_ROWS."""
+def splitter_grams(held: DataFrame, shape: Shape, suffixes: int) -> np.ndarray:
+    """Grams that cut the suffixes into buckets of about BUCKET_ROWS, from a sample of at most about SAMPLE_ROWS; one that fills several stands as often."""
     share = min(1.0, SAMPLE_ROWS / max(1, suffixes))
     chosen = F.filter("anchors", lambda p: F.pmod(F.xxhash64("k1", p), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = held.select("k1", "k2", "text", chosen.alias("anchors")).where(F.size("anchors") > 0)
     found = rows.mapInPandas(cut_suffixes(shape, None), SUFFIX).selectExpr(f"substring(bytes, left + 1, {shape.gram}) lead").toPandas()["lead"].tolist()
     sample = np.sort(np.array([bytes(x) for x in found], f"S{shape.gram}"))
-    buckets = max(shuffle_partitions(spark), -(-suffixes // BUCKET_ROWS))
-    return np.unique(sample[np.linspace(0, len(sample) - 1, buckets + 1).astype(np.int64)[1:-1]]) if len(sample) else sample
+    buckets = max(1, -(-suffixes // BUCKET_ROWS))
+    return sample[np.linspace(0, len(sample) - 1, buckets + 1).astype(np.int64)[1:-1]] if len(sample) else sample
 
 
 def repeated_passages(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -368,7 +370,7 @@ def repeated_passages(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gra
 
     with_suffixes = held.where("anchors IS NOT NULL").select(*key, "text", "anchors")
     count = with_suffixes.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    splitters = splitter_grams(with_suffixes, shape, count, spark)
+    splitters = splitter_grams(with_suffixes, shape, count)
     suffixes = with_suffixes.mapInPandas(cut_suffixes(shape, splitters), SUFFIX)
     span = "k1 long, k2 long, length int, begin int, end int"
     found = suffixes.where("NOT boundary").groupBy("bucket").applyInPandas(compare_bucket(shape), span)

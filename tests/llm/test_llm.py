@@ -288,9 +288,11 @@ def test_packing_equals_the_optimum_of_tiny_tables():
 # 7: repeated passages
 
 
-@pytest.mark.parametrize("bucket_rows", [8_192, 2])
-def test_suffix_dedup_equals_brute_force(spark, bucket_rows, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", bucket_rows)  # of two rows: nearly all suffixes are compared across boundaries
+@pytest.mark.parametrize("bucket_rows, most_buckets", [(8_192, 8), (2, 1)])
+def test_suffix_dedup_equals_brute_force(spark, bucket_rows, most_buckets, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(suffix_dedup, "MOST_BUCKETS", most_buckets)  # of one bucket of two rows: many suffixes are compared across buckets
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 64)  # texts are read in pieces
     rng = random.Random(5)
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     passage, other = text(90), text(60) + "é"
