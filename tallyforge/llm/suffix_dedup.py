@@ -36,7 +36,7 @@ take part. Only the named columns are read, so others cannot clash.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -154,27 +154,27 @@ def anchors_of(parts: list[bytes], rolling: Rolling, shape: Shape) -> tuple[np.n
     return owner, chosen - (ends - sizes)[owner], hashes[chosen]
 
 
-def count_grams(shape: Shape):
+def count_grams(shape: Shape, encode: Callable[[str], bytes]):
     """Texts to (gram, n)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rolling = Rolling(2 * CHUNK_BYTES + 4 * shape.window)
         for pdf in batches:
-            for chunk in pieces([t.encode() for t in pdf["text"]], shape.window):
+            for chunk in pieces([encode(t) for t in pdf["text"]], shape.window):
                 gram, n = np.unique(anchors_of([c[2] for c in chunk], rolling, shape)[2], return_counts=True)
                 yield pd.DataFrame({"gram": gram.view(np.int64), "n": n.astype(np.int32)})
 
     return count
 
 
-def find_anchors(shape: Shape, bitmap):
+def find_anchors(shape: Shape, bitmap, encode: Callable[[str], bytes]):
     """(k1, k2) and text to (k1, k2, pos, gram, c1, c2) of each anchor whose gram the bitmap lets through."""
 
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rolling, recurring = Rolling(2 * CHUNK_BYTES + 4 * shape.window), np.frombuffer(bitmap.value, np.uint8)
         digest = xxhash.xxh3_128_digest
         for pdf in batches:
-            texts = [t.encode() for t in pdf["text"]]
+            texts = [encode(t) for t in pdf["text"]]
             k1, k2 = pdf["k1"].to_numpy(), pdf["k2"].to_numpy()
             for chunk in pieces(texts, shape.window):
                 owner, offset, gram = anchors_of([c[2] for c in chunk], rolling, shape)
@@ -287,14 +287,14 @@ def explode_windows(shape: Shape):
     return windows
 
 
-def cut_suffixes(shape: Shape, splitters: np.ndarray | None):
+def cut_suffixes(shape: Shape, splitters: np.ndarray | None, encode: Callable[[str], bytes]):
     """Texts with positions to suffixes with their bytes, bucket (0 without splitters) and whether their gram spreads over several buckets."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for k1, k2, text, anchors in zip(pdf["k1"], pdf["k2"], pdf["text"], pdf["anchors"], strict=True):
-                data = text.encode()
+                data = encode(text)
                 for p in anchors.tolist():
                     left = min(p, shape.left)
                     rows.append((k1, k2, p, left, data[p - left : p + shape.right]))
@@ -319,9 +319,9 @@ def text_keys(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns({"text": text, "k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)})
 
 
-def gram_filter(spark: SparkSession, texts: DataFrame, shape: Shape):
+def gram_filter(spark: SparkSession, texts: DataFrame, shape: Shape, encode: Callable[[str], bytes]):
     """A broadcast bitmap of 2^FILTER_BITS bits, those of the grams that several anchors have set."""
-    counts = texts.select("text").mapInPandas(count_grams(shape), "gram long, n int").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = texts.select("text").mapInPandas(count_grams(shape, encode), "gram long, n int").groupBy("gram").agg(F.sum("n").alias("n"))
     bit = F.shiftrightunsigned("gram", 64 - FILTER_BITS)
     words = counts.where("n > 1").select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - FILTER_BITS}) & 63 as int))").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most 2^(FILTER_BITS - 6) rows
@@ -330,28 +330,34 @@ def gram_filter(spark: SparkSession, texts: DataFrame, shape: Shape):
     return spark.sparkContext.broadcast(bitmap.tobytes())
 
 
-def splitter_grams(held: DataFrame, shape: Shape, suffixes: int) -> np.ndarray:
+def splitter_grams(held: DataFrame, shape: Shape, suffixes: int, encode: Callable[[str], bytes]) -> np.ndarray:
     """Grams that cut the suffixes into buckets of about BUCKET_ROWS, from a sample of at most about SAMPLE_ROWS; one that fills several stands as often."""
     share = min(1.0, SAMPLE_ROWS / max(1, suffixes))
     chosen = F.filter("anchors", lambda p: F.pmod(F.xxhash64("k1", p), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = held.select("k1", "k2", "text", chosen.alias("anchors")).where(F.size("anchors") > 0)
-    found = rows.mapInPandas(cut_suffixes(shape, None), SUFFIX).selectExpr(f"substring(bytes, left + 1, {shape.gram}) lead").toPandas()["lead"].tolist()
+    found = rows.mapInPandas(cut_suffixes(shape, None, encode), SUFFIX).selectExpr(f"substring(bytes, left + 1, {shape.gram}) lead").toPandas()["lead"].tolist()
     sample = np.sort(np.array([bytes(x) for x in found], f"S{shape.gram}"))
     buckets = max(1, -(-suffixes // BUCKET_ROWS))
     return sample[np.linspace(0, len(sample) - 1, buckets + 1).astype(np.int64)[1:-1]] if len(sample) else sample
 
 
-def repeated_passages(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_passages(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", code: Callable[[str], bytes] | None = None) -> tuple[DataFrame, DataFrame]:
     """(copies, spans). copies: (k1, k2) of texts of the least length or more that several rows hold, with their words. spans:
     (k1, k2, text, spans) of other texts with repeated passages, spans as array of (length, begin, end), byte intervals
-    that may overlap: covered by repeated windows of that length, or, for length 0, repeated as a whole."""
+    that may overlap: covered by repeated windows of that length, or, for length 0, repeated as a whole.
+
+    ``code``: what stands for a text instead of its UTF-8 bytes; then texts of any length count as copies, and
+    a span of length 0 may end behind the code's end."""
     spark = docs.sparkSession
     shape = Shape(tuple(lengths), gram)
-    texts = text_keys(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").where(F.octet_length("text") >= shape.window)
+    texts = text_keys(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
+    encode = code or str.encode
+    if code is None:
+        texts = texts.where(F.octet_length("text") >= shape.window)
     key, whose = ["k1", "k2"], ["gram", "c1", "c2"]
-    groups = stored(texts.groupBy(*key).agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.max(F.regexp_count("text", F.lit(r"\S+"))).alias("words"), F.max(F.octet_length("text")).alias("size")), "texts")
-    bitmap = gram_filter(spark, texts, shape)
-    anchors = stored(texts.select(*key, "text").mapInPandas(find_anchors(shape, bitmap), "k1 long, k2 long, pos int, gram long, c1 long, c2 long"), "anchors")
+    groups = stored(texts.groupBy(*key).agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.max(F.regexp_count("text", F.lit(r"(?U)\S+"))).alias("words"), F.max(F.octet_length("text")).alias("size")), "texts")
+    bitmap = gram_filter(spark, texts, shape, encode)
+    anchors = stored(texts.select(*key, "text").mapInPandas(find_anchors(shape, bitmap, encode), "k1 long, k2 long, pos int, gram long, c1 long, c2 long"), "anchors")
 
     at = F.struct(*key, "pos")
     contexts = anchors.groupBy(*whose).agg(F.min(at).alias("low"), F.max(at).alias("high"))
@@ -370,8 +376,8 @@ def repeated_passages(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gra
 
     with_suffixes = held.where("anchors IS NOT NULL").select(*key, "text", "anchors")
     count = with_suffixes.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    splitters = splitter_grams(with_suffixes, shape, count)
-    suffixes = with_suffixes.mapInPandas(cut_suffixes(shape, splitters), SUFFIX)
+    splitters = splitter_grams(with_suffixes, shape, count, encode)
+    suffixes = with_suffixes.mapInPandas(cut_suffixes(shape, splitters, encode), SUFFIX)
     span = "k1 long, k2 long, length int, begin int, end int"
     found = suffixes.where("NOT boundary").groupBy("bucket").applyInPandas(compare_bucket(shape), span)
 
@@ -382,7 +388,7 @@ def repeated_passages(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gra
     found = found.unionByName(across.select(*key, "length", (F.col("pos") - F.col("most")).alias("begin"), (F.col("pos") - F.col("least") + F.col("length")).alias("end")))
     parts = found.groupBy(*key).agg(F.collect_list(F.struct("length", "begin", "end")).alias("spans"))
 
-    context = lambda p: F.struct(F.lit(0).alias("length"), F.greatest(p - shape.left, F.lit(0)).alias("begin"), F.least(p + shape.right, F.octet_length("text")).alias("end"))
+    context = lambda p: F.struct(F.lit(0).alias("length"), F.greatest(p - shape.left, F.lit(0)).alias("begin"), (F.least(p + shape.right, F.octet_length("text")) if code is None else p + shape.right).alias("end"))
     none = F.array().cast("array<struct<length:int,begin:int,end:int>>")
     spans = held.join(parts, key, "left").select(*key, "text", F.concat(F.coalesce(F.transform("whole", context), none), F.coalesce("spans", none)).alias("spans"))
     copies = groups.where("copies > 1").select(*key, "words", "size")
