@@ -432,6 +432,23 @@ for name in ("op2_toxicity", "op3_simhash_dedup", "op5_language_id", "op6_packin
 # the pipeline
 
 
+def test_rare_shingles_lose_no_similar_pair(spark):
+    from tallyforge.llm import jaccard_dedup
+
+    rng = np.random.default_rng(3)
+    shared, sets = rng.integers(-(2**62), 2**62, 400), {}
+    for node in range(120):
+        own = shared[rng.random(len(shared)) < rng.choice([0.5, 0.85, 0.95, 1.0])]
+        sets[node] = {*own.tolist(), *rng.integers(-(2**62), 2**62, rng.integers(0, 60)).tolist()}
+    root = {node: min(node, 40) if node % 3 else node for node in sets}
+    frame = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "node long, shingles array<long>")
+    found = jaccard_dedup.sharing_rare_shingles(spark.createDataFrame(list(root.items()), "node long, root long"), frame, 8).collect()
+    pairs = [(a, b) for b in sets for a in range(b) if root[a] != root[b]]
+    similar = {(a, b) for a, b in pairs if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    assert 50 < len(similar) and similar <= {(r["a"], r["b"]) for r in found} <= set(pairs)
+    assert len(found) == len({tuple(r) for r in found}) < len(pairs)
+
+
 def test_near_duplicate_stage_equals_brute_force_jaccard(spark):
     import corpus_pipeline
 
