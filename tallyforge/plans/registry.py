@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregation, costing, joining, normalizing, routing, selection, sequencing, storing, surface
+from . import aggregation, assembly, costing, joining, normalizing, routing, selection, sequencing, storing, surface
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregation", "costing", "joining", "normalizing", "routing", "selection", "sequencing", "storing", "surface"]
+__all__ = ["ORACLES", "QUERIES", "aggregation", "assembly", "costing", "joining", "normalizing", "routing", "selection", "sequencing", "storing", "surface"]
