@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, packing, simhash_dedup, spotsigs, suffix_dedup, token_shards, topk_search, toxicity, url_filter, vocabularies
+from . import byte_bpe, collocations, language_id, packing, resampling, secret_scan, simhash_dedup, spotsigs, suffix_dedup, token_shards, topk_search, toxicity, url_filter, vocabularies
 from .common import learned_fold, table, work_dir
 
 #: The rules of the URL query: (host and path, verdict).
@@ -71,6 +71,18 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_documents(spark, path)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.ranked(table(spark, sf_dir, "documents"), least=100, keep=2000)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("text"), seed=7, percent=25)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk_search": op1_topk_search,
@@ -83,4 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_url_filter": op9_url_filter,
         "op10_token_shards": op10_token_shards,
+        "op11_phrase_collocations": op11_phrase_collocations,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_secret_scan": op13_secret_scan,
     }
