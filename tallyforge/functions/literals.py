@@ -24,13 +24,20 @@ def money_text(x: Column) -> Column:
 
 
 def decimal_literal(x: Column) -> Column:
-    """Plain, space-grouped, comma-grouped and dot-grouped numbers with a decimal dot; anything else as it is."""
-    return (
-        F.when(x.rlike(COMMA_GROUPED), F.regexp_replace(x, ",", ""))
-        .when(x.rlike(DOT_GROUPED), F.replace(F.regexp_replace(x, r"\.", ""), F.lit(","), F.lit(".")))
-        .when(x.rlike(SPACED) | x.rlike(PLAIN), F.replace(F.regexp_replace(x, SPACES, ""), F.lit(","), F.lit(".")))
-        .otherwise(x)
-    )
+    """A number with its sign, digits and a decimal dot; anything else as it is.
+
+    Digits after the last dot or comma are the fraction. Before it stand plain digits, or groups of three
+    (the first may be shorter) between spaces or between marks that aren't the fraction's.
+    """
+    body = F.regexp_replace(x, "^[+-]", "")
+    mark, fraction = F.regexp_extract(body, "([.,])[0-9]+$", 1), F.regexp_extract(body, "[.,]([0-9]+)$", 1)
+    whole = F.when(mark == "", body).otherwise(F.regexp_replace(body, "[.,][0-9]+$", ""))
+    other = F.when(mark == ".", F.translate(whole, ",", " ")).when(mark == ",", F.translate(whole, ".", " ")).otherwise(whole)
+    groups = F.split(F.when(whole.rlike(SPACES), F.regexp_replace(whole, SPACES, " ")).otherwise(other), " ")
+    first, rest = F.element_at(groups, 1), F.slice(groups, 2, 1 << 20)
+    sound = F.when(F.size(rest) == 0, first.rlike("^[0-9]+$")).otherwise(first.rlike("^[0-9]{1,3}$") & F.forall(rest, lambda g: g.rlike("^[0-9]{3}$")))
+    number = F.concat(F.regexp_extract(x, "^[+-]?", 0), F.array_join(groups, ""), F.when(mark == "", "").otherwise(F.concat(F.lit("."), fraction)))
+    return F.when(sound, number).otherwise(x)
 
 
 def date_literal(x: Column) -> Column:

@@ -8,33 +8,41 @@ from pyspark.sql import functions as F
 from ..functions import literals as L
 from .base import Tables, query
 
-LITERALS = ["1234", "1 234", "1 234,50", "1,234.50", "1.234,50", "12,5", "-3.0", "+007.10", "abc", "", "1,23,4.5", "2025-12-31", "31.12.2025", "31.02.2025", "RUB", "US0378331005", "1 160 000", "0.00"]
-NORMALIZED = ["1234", "1234", "1234.50", "1234.50", "1234.50", "12.5", "-3.0", "+007.10", "abc", "", "1,23,4.5", "2025-12-31", "31.12.2025", "31.02.2025", "RUB", "US0378331005", "1160000", "0.00"]
-DATED = [*LITERALS[:12], "2025-12-31", *LITERALS[13:]]
-KINDS = ["decimal", "", "", "", "", "decimal", "decimal", "decimal", "", "", "", "date", "", "", "currency", "isin", "", "decimal"]
+_PRICE = "CAST(CAST(l_extendedprice AS DECIMAL(20,2)) AS VARCHAR)"
 
 
-def _literals(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, x) for i, x in enumerate(LITERALS)], "id int, literal string")
-
-
-def _values(rows: list[str]) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(rows)) + ") v(id, value)"
-
-
-@query(_values(NORMALIZED))
+@query(f"""SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN {_PRICE} WHEN 2 THEN {_PRICE} WHEN 3 THEN {_PRICE} WHEN 4 THEN '-' || {_PRICE} WHEN 5 THEN '+' || {_PRICE}
+WHEN 6 THEN CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) || '.5,0' ELSE l_returnflag END AS value FROM lineitem""")
 def decimal_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark).select("id", L.decimal_literal(F.col("literal")).alias("value"))
-
-
-@query(_values(DATED))
+    """Prices as a column writes them: plain, grouped by commas, dots or no-break spaces, signed; two separators out of order and words stay."""
+    rows = Tables(spark, sf_dir).lineitem
+    plain, commas = L.money_text(F.col("l_extendedprice")), F.format_number(F.col("l_extendedprice").cast("decimal(20,2)"), 2)
+    n = F.col("l_linenumber")
+    literal = (
+        F.when(n == 1, plain).when(n == 2, commas).when(n == 3, F.translate(commas, ",.", ".,")).when(n == 4, F.concat(F.lit("-"), F.translate(commas, ",.", "\u00a0,")))
+        .when(n == 5, F.concat(F.lit("+"), F.translate(plain, ".", ","))).when(n == 6, F.concat(F.floor("l_extendedprice").cast("string"), F.lit(".5,0"))).otherwise(F.col("l_returnflag"))
+    )
+    return rows.select("l_orderkey", "l_linenumber", L.decimal_literal(literal).alias("value"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN '31' || strftime(o_orderdate, '.02.%Y') ELSE strftime(o_orderdate, '%m/%d/%Y') END AS value FROM orders""")
 def date_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark).select("id", L.date_literal(F.col("literal")).alias("value"))
+    """Dates of orders year first or day first; days that no February has and slashed dates stay."""
+    day = lambda form: F.date_format("o_orderdate", form)
+    n = F.col("o_orderkey") % 4
+    literal = F.when(n == 0, day("yyyy-MM-dd")).when(n == 1, day("dd.MM.yyyy")).when(n == 2, F.concat(F.lit("31.02."), day("yyyy"))).otherwise(day("MM/dd/yyyy"))
+    return Tables(spark, sf_dir).orders.select("o_orderkey", L.date_literal(literal).alias("value"))
 
 
-@query(_values(KINDS))
+@query("""SELECT c_custkey, kind, count(*) AS n FROM (SELECT c_custkey, 'decimal' AS kind FROM customer UNION ALL SELECT c_custkey, 'currency' FROM customer UNION ALL SELECT c_custkey, 'isin' FROM customer
+UNION ALL SELECT o_custkey, 'date' FROM orders UNION ALL SELECT c_custkey, '' FROM customer) GROUP BY 1, 2""")
 def value_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark).select("id", F.concat_ws(",", L.value_kinds(F.col("literal"))).alias("value"))
+    """What the cells of a customer's rows may be: balances, order dates, codes of three letters, twelve-character codes, names."""
+    t = Tables(spark, sf_dir)
+    code = F.concat(F.lit("US"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"), (F.col("c_custkey") % 10).cast("string"))
+    cells = t.customer.select("c_custkey", F.explode(F.array(L.money_text(F.col("c_acctbal")), F.substring("c_mktsegment", 1, 3), code, F.lower("c_name"))).alias("cell"))
+    dates = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("cell"))
+    return cells.unionByName(dates).groupBy("c_custkey", F.concat_ws(",", L.value_kinds(F.col("cell"))).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT p_brand, CASE WHEN bool_or(c) AND bool_or(d) THEN 'ambiguous' WHEN bool_or(c) THEN 'comma_dot' WHEN bool_or(d) THEN 'dot_comma' ELSE 'none' END AS convention FROM (SELECT p_brand, p_partkey % 40 = 0 AS c, p_partkey % 60 = 1 AS d FROM part) GROUP BY p_brand""")

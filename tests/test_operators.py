@@ -105,15 +105,27 @@ def test_paging_and_filters(spark):
 
 
 def test_csv_rules(spark):
+    wide = ";".join(f"c{i}" for i in range(parsers.MOST_COLUMNS + 1)).encode()
     cases = {
-        "fine": (b"A,B\n1,2,3\nSummary\n\n", None), "bom": ("﻿A;B\n1;2\n".encode(), None), "cyrillic": ("Дата;Сумма\n1;2\n".encode("cp1251"), None), "empty": (b" \n", "empty"), "blank": (b"A,,B\n1,2,3\n", "header_blank"),
-        "repeated": (b"A,a\n1,2\n", "header_repeated"), "nul": (b"A,B\n1\0,2\n", "nul_byte"), "quote": (b'A,B\n"1,2\n', "malformed"), "none": (None, "unavailable"),
+        "ragged": (b"port|depth|tide\nOban|12\nWick|9|high|late\n\n", None), "marked": ("\ufeffstadt\tland\nK\u00f6ln\tDE\n".encode(), None), "single_byte": ("\u0433\u043e\u0440\u043e\u0434|\u043a\u043e\u0434\n\u041e\u043c\u0441\u043a|55\n".encode("cp1251"), None),
+        "spaces_only": (b"\t \r\n", "empty"), "nameless": (b"port;;tide\n1;2;3\n", "header_blank"), "twice": (b"tide;Port; port \n1;2;3\n", "header_repeated"), "zero_byte": (b"port;tide\nOb\x00an;1\n", "nul_byte"),
+        "open_quote": (b'port;note\nOban;"never ends\nWick;2\n', "malformed"), "header_alone": (b"port;tide\n", "header_only"), "columns": (wide + b"\n1;2\n", "too_many_columns"),
+        "field": (b"port;note\nOban;" + b"n" * (parsers.MOST_FIELD + 1) + b"\n", "field_too_long"), "missing": (None, "unavailable"),
     }
     df = spark.createDataFrame([(k, bytearray(v[0]) if v[0] is not None else None) for k, v in cases.items()], "id string, content binary")
     found = parsers.read_as(df, "csv").collect()
     assert {r["id"]: r["error"] for r in found} == {k: v[1] for k, v in cases.items()}
-    assert [r["cells"] for r in found if r["id"] == "fine"] == [["A", "B"], ["1", "2", "3"], ["Summary"], []]
-    assert [r["cells"] for r in found if r["id"] == "cyrillic"][0] == ["Дата", "Сумма"]
+    assert [r["cells"] for r in found if r["id"] == "ragged"] == [["port", "depth", "tide"], ["Oban", "12"], ["Wick", "9", "high", "late"], []]
+    assert [r["cells"] for r in found if r["id"] == "single_byte"][1] == ["\u041e\u043c\u0441\u043a", "55"]
+
+
+def test_decimal_literals(spark):
+    cases = {
+        "8": "8", "12 345": "12345", "12\u00a0345\u202f678,9": "12345678.9", "12,345.60": "12345.60", "-12.345,60": "-12345.60", "+0,07": "+0.07", "1,234": "1.234", "1,234,567": "1,234,567", "1.2.3": "1.2.3", "12,34.5": "12,34.5",
+        "1 23": "1 23", "1 234 ": "1 234 ", "1,234 567.8": "1,234 567.8", "": "", "-": "-", "twelve": "twelve", "5.": "5.", ".5": ".5", "1234 567": "1234 567", None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "x string").select("x", L.decimal_literal(F.col("x")).alias("y"))
+    assert {r["x"]: r["y"] for r in df.collect()} == cases
 
 
 def test_xml_zip_and_html(spark):
