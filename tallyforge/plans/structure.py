@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import trees
+from ..operators import layout, matching, trees
 from .base import Tables, query
 
 #: Facts of a page: (fact, end of the path, attribute or None for the text, pattern of the type).
@@ -52,3 +52,97 @@ def _facts_sql() -> str:
 def markup_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed facts of the pages by a table of paths."""
     return trees.typed_facts(trees.nested(Tables(spark, sf_dir).pages, "page_id", "html"), "page_id", PAGE_FACTS)
+
+
+#: Words of a document as a page would place them: tables of four columns (each page repeats the first line), or lines of prose.
+_BOXES = """WITH w AS (SELECT doc_id, unnest(string_split_regex(trim(text), '[ \\n]+')) AS text, unnest(range(len(string_split_regex(trim(text), '[ \\n]+')))) AS i FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, text, i, CASE WHEN doc_id % 3 = 0 THEN i // 4 ELSE i // 9 END AS line, CASE WHEN doc_id % 3 = 0 THEN i % 4 ELSE i % 9 END AS slot FROM w),
+p AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 AND line > 0 THEN (line - 1) // 19 ELSE line // 20 END AS page, CASE WHEN doc_id % 3 = 0 AND line > 0 THEN (line - 1) % 19 + 1 ELSE line % 20 END AS y, line, slot FROM t),
+h AS (SELECT p.doc_id, p.text, g.page, 0 AS y, p.line, p.slot FROM p JOIN (SELECT DISTINCT doc_id, page FROM p WHERE doc_id % 3 = 0 AND page > 0) g USING (doc_id) WHERE p.line = 0),
+b AS (SELECT doc_id, page, text, CASE WHEN doc_id % 3 = 0 THEN slot * 400 + line % 7 ELSE slot * 70 + (line * 31) % 50 END AS x0, least(length(text), 30) * 8 AS width, y * 20 + slot % 3 AS y0 FROM (SELECT * FROM p UNION ALL SELECT * FROM h)),
+boxes AS (SELECT doc_id, page, text, x0, x0 + width AS x1, y0, y0 + 12 AS y1 FROM b)"""
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, text, x0, x1, y0, y1) of every word of documents."""
+    words = Tables(spark, sf_dir).documents.select("doc_id", F.posexplode(F.split(F.trim("text"), "[ \n]+")).alias("i", "text"))
+    table = F.col("doc_id") % 3 == 0
+    at = words.withColumns({"line": F.when(table, F.expr("i div 4")).otherwise(F.expr("i div 9")), "slot": F.when(table, F.col("i") % 4).otherwise(F.col("i") % 9)})
+    paged = at.withColumns({
+        "page": F.when(table & (F.col("line") > 0), F.expr("(line - 1) div 19")).otherwise(F.expr("line div 20")),
+        "y": F.when(table & (F.col("line") > 0), (F.col("line") - 1) % 19 + 1).otherwise(F.col("line") % 20),
+    })
+    later = paged.where(table & (F.col("page") > 0)).select("doc_id", F.col("page")).distinct()
+    heads = paged.where(table & (F.col("line") == 0)).drop("page", "y").join(later, "doc_id").withColumn("y", F.lit(0).cast("long"))
+    both = paged.unionByName(heads)
+    x0 = F.when(table, F.col("slot") * 400 + F.col("line") % 7).otherwise(F.col("slot") * 70 + (F.col("line") * 31) % 50)
+    return both.select("doc_id", "page", "text", x0.alias("x0"), (x0 + F.least(F.length("text"), F.lit(30)) * 8).alias("x1"), (F.col("y") * 20 + F.col("slot") % 3).alias("y0"), (F.col("y") * 20 + F.col("slot") % 3 + 12).alias("y1"))
+
+
+@query(f"""{_BOXES},
+s AS (SELECT *, CASE WHEN y0 - max(y1) OVER (PARTITION BY doc_id, page ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 4 THEN 1 ELSE 0 END AS fy,
+  CASE WHEN x0 - max(x1) OVER (PARTITION BY doc_id, page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 15 THEN 1 ELSE 0 END AS fx FROM boxes),
+n AS (SELECT *, sum(fy) OVER (PARTITION BY doc_id, page ORDER BY y0, y1 RANGE UNBOUNDED PRECEDING) AS band, sum(fx) OVER (PARTITION BY doc_id, page ORDER BY x0, x1 RANGE UNBOUNDED PRECEDING) AS lane FROM s),
+c AS (SELECT doc_id, page, CAST(band AS BIGINT) AS band, CAST(lane AS BIGINT) AS lane, string_agg(text, ' ' ORDER BY y0, x0, x1, text) AS text FROM n GROUP BY 1, 2, 3, 4),
+r AS (SELECT doc_id, page, band, count(*) AS filled, max(lane) AS last, string_agg(lane || ':' || text, '|' ORDER BY lane) AS line FROM c GROUP BY 1, 2, 3),
+g AS (SELECT doc_id, page, count(*) AS bands, max(last) + 1 AS lanes, arg_min(line, band) AS header FROM r GROUP BY 1, 2 HAVING max(last) >= 1 AND count(*) >= 3 AND count(*) FILTER (filled >= 2) >= 0.6 * count(*)),
+k AS (SELECT *, CASE WHEN lag(page) OVER w = page - 1 AND lag(lanes) OVER w = lanes THEN 0 ELSE 1 END AS starts FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
+m AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY page) AS tbl FROM k),
+q AS (SELECT *, CASE WHEN starts = 0 AND first(header) OVER (PARTITION BY doc_id, tbl ORDER BY page) = header THEN 1 ELSE 0 END AS repeats FROM m),
+z AS (SELECT *, sum(bands - repeats) OVER (PARTITION BY doc_id, tbl ORDER BY page) - (bands - repeats) AS before FROM q)
+SELECT doc_id, CAST(tbl AS BIGINT) AS "table", CAST(before + band - repeats AS BIGINT) AS "row", lane, text, before + band - repeats = 0 AS header FROM c JOIN z USING (doc_id, page) WHERE NOT (repeats = 1 AND band = 0)""")
+def table_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words placed on pages, back as tables: bands, lanes, repeated headers, tables over several pages. Prose gives none."""
+    return layout.projected(_boxes(spark, sf_dir), "doc_id", "page", 4, 15)
+
+
+@query()
+def two_way_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared lines of a supplier against observed ones that are off by some cents, doubled or lost; every row of both in one bucket."""
+    lines = Tables(spark, sf_dir).lineitem
+    cents = F.col("l_quantity").cast("long") * 100 + F.col("l_orderkey") % 7
+    declared = lines.select("l_suppkey", cents.alias("cents"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"))
+    n = F.col("ref") % 13
+    off = F.when(n < 5, 0).when(n < 8, 3).when(n < 10, -4).when(n == 10, 61).otherwise(9)
+    observed = declared.where(n < 12).select("l_suppkey", (F.col("cents") + off).alias("cents"), "ref", n.alias("n"))
+    doubled = observed.where("n = 2").withColumn("ref", -F.col("ref"))
+    return matching.reconciled(declared, observed.unionByName(doubled).drop("n"), "l_suppkey", "cents", "ref", 5)
+
+
+_QUEUE = """WITH RECURSIVE line AS (SELECT o_custkey, o_orderkey, o_totalprice AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+edges AS (SELECT a.o_orderkey AS parent, b.o_orderkey AS item, b.size FROM line a JOIN line b ON b.o_custkey = a.o_custkey AND (b.i = a.i % a.n + 1 OR a.o_custkey % 3 = 0 AND b.i = a.i + 3)),
+walk AS (SELECT o_orderkey AS item, size, 0 AS depth FROM line WHERE i = 1 UNION SELECT e.item, e.size, depth + 1 FROM walk JOIN edges e ON e.parent = walk.item WHERE depth <= 12 AND walk.size <= 400000),
+met AS (SELECT item, min(depth) AS depth, any_value(size) AS size FROM walk GROUP BY 1)
+SELECT item, CAST(depth AS INTEGER) AS depth, CASE WHEN depth > 12 THEN 'over_depth' WHEN size > 400000 THEN 'blocked_size' ELSE 'processed' END AS status,
+(SELECT min(e.parent) FROM edges e JOIN met p ON p.item = e.parent WHERE e.item = met.item AND p.depth = met.depth - 1 AND p.size <= 400000) AS parent FROM met"""
+
+
+@query(_QUEUE)
+def work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders opened from a customer's first one on: each leads to the next (some also to the third after), the last back to the first."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    line = Tables(spark, sf_dir).orders.select("o_custkey", F.col("o_orderkey").alias("item"), F.col("o_totalprice").alias("size"), F.row_number().over(w).alias("i"))
+    roots = line.where("i = 1")
+    after = lambda n: line.select("o_custkey", F.col("item").alias("parent"), F.lead("item", n).over(line_order).alias("item"), F.lead("size", n).over(line_order).alias("size"), "i")
+    line_order = Window.partitionBy("o_custkey").orderBy("i")
+    chain = after(1).where("item IS NOT NULL").unionByName(after(3).where("item IS NOT NULL AND o_custkey % 3 = 0"))
+    last = after(1).where("item IS NULL").select("o_custkey", "parent").join(roots.select("o_custkey", "item", "size"), "o_custkey")
+    children = chain.select("parent", "item", "size").unionByName(last.select("parent", "item", "size"))
+    return matching.worked_off(roots.select("item", "size"), children, 12, 400_000).select("item", "depth", "status", "parent")
+
+
+@query("""WITH RECURSIVE r AS (SELECT DISTINCT l_partkey, year(l_shipdate) AS y, CASE WHEN CAST(l_quantity AS BIGINT) % 2 = 0 THEN 'a' ELSE 'b' END AS enter, CASE WHEN CAST(l_quantity AS BIGINT) % 3 = 0 THEN 'a' ELSE 'b' END AS leave, CAST(l_quantity AS BIGINT) AS reading FROM lineitem),
+w AS (SELECT l_partkey, y, row_number() OVER (PARTITION BY l_partkey ORDER BY y) AS i, count(*) OVER (PARTITION BY l_partkey) AS n FROM (SELECT DISTINCT l_partkey, y FROM r)),
+x AS (SELECT r.*, i, n FROM r JOIN w USING (l_partkey, y)),
+go AS (SELECT l_partkey, i, leave AS state, CAST(count(*) AS HUGEINT) AS ways, min([reading]) AS best FROM x WHERE i = 1 GROUP BY 1, 2, 3
+  UNION ALL SELECT x.l_partkey, x.i, x.leave, CAST(sum(ways) AS HUGEINT), min(list_append(best, x.reading)) FROM go JOIN x ON x.l_partkey = go.l_partkey AND x.i = go.i + 1 AND x.enter = go.state GROUP BY 1, 2, 3),
+t AS (SELECT l_partkey, max(n) AS n FROM w GROUP BY 1), far AS (SELECT l_partkey, max(i) AS i FROM go GROUP BY 1)
+SELECT t.l_partkey, CAST(t.n AS INTEGER) AS windows, coalesce(CAST(sum(ways) AS VARCHAR), '0') AS combinations, array_to_string(min(best), ',') AS best, any_value(CAST(d.y AS INTEGER)) AS dead_end
+FROM t JOIN far USING (l_partkey) LEFT JOIN go ON go.l_partkey = t.l_partkey AND go.i = t.n LEFT JOIN w d ON d.l_partkey = t.l_partkey AND far.i < t.n AND d.i = far.i + 1 GROUP BY 1, 2""")
+def window_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The years of a part as windows with the readings of its lines: how many ways lead through all, and the least."""
+    q = F.col("l_quantity").cast("long")
+    state = lambda n: F.when(q % n == 0, "a").otherwise("b")
+    readings = Tables(spark, sf_dir).lineitem.select("l_partkey", F.year("l_shipdate").alias("y"), state(2).alias("enter"), state(3).alias("leave"), q.alias("reading"))
+    found = matching.stitched(readings, "l_partkey", "y")
+    return found.select("l_partkey", "windows", F.col("combinations").cast("string").alias("combinations"), F.array_join("best", ",").alias("best"), "dead_end")
