@@ -98,15 +98,14 @@ def table_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def two_way_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared lines of a supplier against observed ones that are off by some cents, doubled or lost; every row of both in one bucket."""
-    lines = Tables(spark, sf_dir).lineitem
-    cents = F.col("l_quantity").cast("long") * 100 + F.col("l_orderkey") % 7
-    declared = lines.select("l_suppkey", cents.alias("cents"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"))
+    """Declared orders of a customer against observed ones that are off by some cents, doubled or lost; every row of both in one bucket."""
+    cents = (F.col("o_totalprice") * 100).cast("long") % 5000
+    declared = Tables(spark, sf_dir).orders.select("o_custkey", cents.alias("cents"), F.col("o_orderkey").alias("ref"))
     n = F.col("ref") % 13
-    off = F.when(n < 5, 0).when(n < 8, 3).when(n < 10, -4).when(n == 10, 61).otherwise(9)
-    observed = declared.where(n < 12).select("l_suppkey", (F.col("cents") + off).alias("cents"), "ref", n.alias("n"))
-    doubled = observed.where("n = 2").withColumn("ref", -F.col("ref"))
-    return matching.reconciled(declared, observed.unionByName(doubled).drop("n"), "l_suppkey", "cents", "ref", 5)
+    off = F.when(n < 5, 0).when(n < 8, 30).when(n < 10, -140).when(n == 10, 610).otherwise(9)
+    observed = declared.where(n < 12).select("o_custkey", (F.col("cents") + off).alias("cents"), "ref", n.alias("n"))
+    doubled = observed.where("n = 2").withColumn("ref", -F.col("ref") - 1)
+    return matching.reconciled(declared, observed.unionByName(doubled).drop("n"), "o_custkey", "cents", "ref", 150)
 
 
 _QUEUE = """WITH RECURSIVE line AS (SELECT o_custkey, o_orderkey, o_totalprice AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pdf import pdf_lines
+
 MOST_BYTES = 64 << 20
 MOST_MEMBERS = 10_000
 MOST_RATIO = 200
@@ -297,6 +299,7 @@ FORMATS = {
     "zip": (zip_members, "ordinal int, name string, disposition string, content binary"),
     "xlsx": (xlsx_cells, "sheet string, cell string, text string, is_formula boolean"),
     "docx": (docx_paragraphs, "ordinal int, style string, text string"),
+    "pdf": (pdf_lines, "page int, line int, text string"),
 }
 
 
