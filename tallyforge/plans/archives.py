@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents, fuzzy, resolve
 from ..sources import parsers, pdf, store
+from ..streaming import replay
 from .base import Tables, query
 
 
@@ -74,3 +75,30 @@ def pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.array_join(F.transform("parts", lambda p: p["text"]), "\n")
     read = F.col("error").isNull()
     return lines.select("doc_id", F.coalesce("error", F.lit("read")).alias("status"), F.when(read, F.col("n")).alias("lines"), F.when(read, F.sha2(text.cast("binary"), 256)).alias("text_sha256"))
+
+
+#: A job is a user and a week; the manifest names the events that the job should have. Some events were lost, some came twice, some are not named.
+_DAY = 86_400_000
+
+
+@query("""WITH e AS (SELECT user_id * 1000 + CAST(floor(epoch_ms(ts) / 604800000) AS BIGINT) % 1000 AS job, event_id, epoch_ms(ts) AS t FROM events),
+m AS (SELECT job, event_id, t FROM e WHERE event_id % 19 <> 0), j AS (SELECT job, event_id, t + CASE WHEN event_id % 23 = 0 THEN 259200000 ELSE 0 END AS t FROM e, LATERAL (SELECT unnest(range(CASE WHEN event_id % 29 = 0 THEN 2 ELSE 1 END))) WHERE event_id % 13 <> 0),
+d AS (SELECT job, max(t) AS deadline FROM m GROUP BY 1), n AS (SELECT job, event_id, count(*) AS times, min(t) AS first FROM j GROUP BY 1, 2),
+x AS (SELECT job, count(m.event_id) AS expected, count(*) FILTER (m.event_id IS NOT NULL AND times > 0) AS seen, coalesce(sum(greatest(times - 1, 0)), 0) AS repeated, count(*) FILTER (m.event_id IS NULL) AS foreign_,
+  count(*) FILTER (m.event_id IS NOT NULL AND first > deadline + 86400000) AS late, any_value(deadline) AS deadline FROM m FULL JOIN n USING (job, event_id) JOIN d USING (job) GROUP BY job)
+SELECT job, expected, seen, expected - seen AS missing, CAST(repeated AS BIGINT) AS repeated, foreign_ AS "foreign", late,
+CASE WHEN expected > seen THEN 'incomplete' WHEN repeated + foreign_ + late > 0 THEN 'complete_with_findings' ELSE 'complete' END AS status
+FROM x WHERE deadline + 172800000 < (SELECT max(t) FROM (SELECT t FROM m UNION ALL SELECT t FROM j)) - 3600000""")
+def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over manifest and journal entries; a job is reported two days after its last entry was due."""
+    events = Tables(spark, sf_dir).events
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    entry = F.col("event_id")
+    own = events.select((F.col("user_id") * 1000 + F.floor(at / 604_800_000) % 1000).alias("job"), entry.alias("entry"), at.alias("at"))
+    expected = own.where("entry % 19 <> 0").withColumn("kind", F.lit("expected"))
+    times = F.when(F.col("entry") % 29 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    seen = own.where("entry % 13 <> 0").withColumn("at", F.col("at") + F.when(F.col("entry") % 23 == 0, 3 * _DAY).otherwise(0)).withColumn("kind", F.lit("seen")).select("*", F.explode(times).alias("n")).drop("n")
+    both = expected.unionByName(seen).select("job", "kind", "entry", "at", F.timestamp_millis("at").alias("ts"))
+    path = store.shared_folder(spark)
+    both.write.parquet(path)
+    return replay.replayed_once(spark, path, both.schema, 2 * _DAY, "1 hour")
