@@ -7,13 +7,16 @@
    counters; past that it only lets more through, so results never depend on it.
    Tasks are sent one bit a counter, at most 2**MOST_BITS / 8 bytes.
 2. ``tries``: each task counts shards of about SHARD_WORDS words in a trie of
-   depth DEPTH below the language, level by level: a node is its parent and a word,
-   in the order of the words. Paths end where the filter says they can't be
-   frequent. The nodes are stored as sorted rows (language, words, count).
-3. ``frequent``: rows are dealt out by ranges of the words and sorted, so the
-   shards' runs meet merged; one walk adds up equal nodes and keeps the counts on
-   the path, which are the left parts. Ancestors before the range's start are left
-   to the next step.
+   depth DEPTH below the language, level by level: a node is its parent and a word.
+   Paths end where the filter says they can't be frequent. The nodes are serialised
+   sorted by their paths, in compressed blocks, one a prefix range. The ranges lie
+   between paths drawn from a sample of the texts, which only balances them: any path
+   has its range, and each node is in one. There are RANGES_A_PARTITION a shuffle
+   partition, so more partitions mean smaller ranges.
+3. ``frequent``: the sorted blocks of a range meet in a task and are merged;
+   equal nodes are added up, and a walk over the merged trie gives each node the
+   counts on its path, which are the left parts. Ancestors before the range's start are
+   left to the next step.
 4. ``scored``: suffix links: each phrase meets the counts of its right parts (and of
    missing left parts) by key. Then the lowest cut is scored, in exact decimals.
 5. ``ranked``: phrases absorbed by a longer one go, and each language's first ones stay.
@@ -28,6 +31,7 @@ with the last words carried over. Only the named columns are read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -37,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Shared, shuffle_partitions, stored
+from .common import Shared, hash_sample, shuffle_partitions, stored
 
 DEPTH = 5
 SHARD_WORDS = 1 << 21
@@ -45,6 +49,7 @@ PIECE_BYTES = 1 << 20
 LEAST_BITS, MOST_BITS, SLICE_BITS = 18, 29, 18
 #: Bytes a word, at least about, from which the number of counters follows.
 WORD_BYTES = 6
+RANGES_A_PARTITION, SAMPLE_TEXTS_A_RANGE, SAMPLE_A_RANGE = 4, 64, 32
 NODES = "lang string, words array<string>, f long"
 
 _BREAK = b"\xff"
@@ -195,64 +200,171 @@ def levels(shard: Shard, bits: int, bitmap: np.ndarray) -> Iterator[tuple[np.nda
         parent = back
 
 
+def nodes_of(shard: Shard, bits: int, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(paths, counts) of all nodes of a shard's trie: language, then DEPTH numbers of words (-1 past the end)."""
+    paths, counts, above = [], [], None
+    for depth, (parent, word, number) in enumerate(levels(shard, bits, bitmap)):
+        if depth == 0:
+            above = np.full((len(word), DEPTH + 1), -1, np.int64)
+        else:
+            above = above[parent]
+        above[:, depth] = word
+        paths.append(above)
+        counts.append(number)
+        above = above.copy()
+    return np.concatenate(paths), np.concatenate(counts)
+
+
+def serialised(paths: np.ndarray, counts: np.ndarray, words: list[str], names: list[str]) -> bytes:
+    """Nodes in the order of their paths: the words that occur, then the columns of the paths and the counts, byte by byte."""
+    used = np.unique(paths[:, 1:])
+    used = used[used >= 0]
+    own = sorted(words[i] for i in used)
+    place = dict(zip(own, range(len(own)), strict=True))
+    local = np.full(len(words) + 1, -1, np.int64)
+    local[used] = [place[words[i]] for i in used]
+    langs = sorted({names[i] for i in paths[:, 0]})
+    of_lang = np.array([langs.index(x) if x in langs else -1 for x in names])
+    table = np.column_stack([of_lang[paths[:, 0]], local[paths[:, 1:]]]) + 1
+    order = np.lexsort(table.T[::-1])
+    table = np.column_stack([table[order], counts[order]]).astype("<u4")
+    planes = np.ascontiguousarray(table.T).view(np.uint8).reshape(table.shape[1], -1, 4).transpose(0, 2, 1)
+    head = "\n".join([" ".join(own), *langs]).encode()
+    return zlib.compress(len(head).to_bytes(4, "little") + head + planes.tobytes(), 1)
+
+
+def deserialised(body: bytes) -> tuple[np.ndarray, list[str], list[str]]:
+    """(columns of the paths from 1, 0 past the end, and counts; words; languages)."""
+    data = zlib.decompress(body)
+    size = int.from_bytes(data[:4], "little")
+    words, *langs = data[4 : 4 + size].decode().split("\n")
+    planes = np.frombuffer(data, np.uint8, offset=4 + size).reshape(DEPTH + 2, 4, -1).transpose(0, 2, 1)
+    return np.ascontiguousarray(planes).view("<u4")[..., 0].T.astype(np.int64), words.split(" ") if words else [], langs
+
+
+def merged(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
+    """(paths, counts, words, languages): the sorted runs merged, equal nodes added up."""
+    runs = [deserialised(b) for b in bodies]
+    words, langs = (sorted(set().union(*(r[i] for r in runs))) for i in (1, 2))
+    number = [{x: i + 1 for i, x in enumerate(own)} for own in (words, langs)]
+    tables = []
+    for table, own, names in runs:
+        word = np.array([0, *(number[0][x] for x in own)])
+        lang = np.array([0, *(number[1][x] for x in names)])
+        tables.append(np.column_stack([lang[table[:, 0]], word[table[:, 1:-1]], table[:, -1]]))
+    table = np.concatenate(tables)
+    table = table[np.lexsort(table[:, :-1].T[::-1])]
+    first = np.flatnonzero(np.concatenate([[True], (table[1:, :-1] != table[:-1, :-1]).any(axis=1)]))
+    return table[first, :-1], np.add.reduceat(table[:, -1], first), words, langs
+
+
+def walked(paths: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """[node, k]: the count of the first k words of each node's path; -1 where that node lies before the run."""
+    depth = (paths[:, 1:] > 0).sum(axis=1)
+    at = np.arange(len(paths))
+    lefts = np.full((len(paths), DEPTH), -1, np.int64)
+    for k in range(DEPTH):
+        last = np.maximum.accumulate(np.where(depth == k, at, -1))
+        above = (depth > k) & (last >= 0)
+        above[above] = (paths[last[above], : k + 1] == paths[above, : k + 1]).all(axis=1)
+        lefts[above, k] = counts[last[above]]
+    return lefts
+
+
 def _tries(size: int, sent: Shared):
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, bitmap = sent.value
+        bits, bitmap, splitters = sent.value
         for shard in shards(frames, size):
-            text, above, langs = [w.decode() if i else "" for i, w in enumerate(shard.words)], [], []
-            for depth, (parent, word, number) in enumerate(levels(shard, bits, bitmap)):
-                if depth == 0:
-                    langs, above = [shard.names[i] for i in word], [[] for _ in word]
-                else:
-                    langs = [langs[p] for p in parent]
-                    above = [[*above[p], text[w]] for p, w in zip(parent, word, strict=True)]
-                if above:
-                    yield pd.DataFrame({"lang": langs, "words": above, "f": number})
+            paths, counts = nodes_of(shard, bits, bitmap)
+            words = [w.decode() if i else "" for i, w in enumerate(shard.words)]
+            place = _places(paths, splitters, words, shard.names)
+            order = np.argsort(place, kind="stable")
+            cut = np.flatnonzero(np.diff(place[order], prepend=-1))
+            rows = [(place[own[0]], serialised(paths[own], counts[own], words, shard.names)) for own in np.split(order, cut[1:])] if len(order) else []
+            if rows:
+                yield pd.DataFrame(rows, columns=["range", "body"])
 
     return count
 
 
-def _walk(least: int):
-    """Adds up equal nodes of a sorted run; lefts[k]: the count of the first k words, null where it lies before the run."""
+def _places(paths: np.ndarray, splitters: list[tuple], words: list[str], names: list[str]) -> np.ndarray:
+    """The range of each node: how many splitters aren't after its path. Splitters are looked for by the ranks of this shard's words."""
+    by_word, by_name = sorted(set(words[1:])), sorted(set(names))
+    rank = np.array([-1, *np.searchsorted(by_word, words[1:]), -1], np.int64) if by_word else np.full(len(words) + 1, -1, np.int64)
+    own = np.column_stack([np.searchsorted(by_name, names)[paths[:, 0]], rank[paths[:, 1:]]])
+    # a splitter's word that the shard doesn't have lies between two ranks
+    cuts = [[_between(by_name, lang), *(_between(by_word, w) for w in path), *[-1.0] * (DEPTH - len(path))] for lang, path in splitters]
+    both = np.concatenate([np.array(cuts).reshape(-1, DEPTH + 1), own])
+    order = np.lexsort([np.repeat([0, 1], [len(cuts), len(own)]), *both.T[::-1]])
+    seen = np.cumsum(order < len(cuts))
+    out = np.empty(len(both), np.int64)
+    out[order] = seen
+    return out[len(cuts) :]
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, f, path = None, 0, []
 
-        def settled() -> list[tuple]:
-            nonlocal path
-            lang, words = key
-            depth = 0  # of the path that this node shares
-            while depth < len(path) and depth < len(words) and path[depth][:2] == (lang, words[depth - 1] if depth else None):
-                depth += 1
-            path = path[:depth] + [(lang, words[i - 1] if i else None, None) for i in range(depth, len(words))] + [(lang, words[-1] if words else None, f)]
-            return [(lang, list(words), f, [c for _, _, c in path[:-1]])] if f >= least or not words else []
+def _between(ranked: list[str], x: str) -> float:
+    at = bisect.bisect_left(ranked, x)
+    return float(at) if at < len(ranked) and ranked[at] == x else at - 0.5
 
+
+def _sampled(size: int, sent: Shared):
+    def sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, bitmap = sent.value
+        for shard in shards(frames, size):
+            paths, _ = nodes_of(shard, bits, bitmap)
+            own = [" ".join(shard.words[i].decode() for i in path[1:] if i >= 0) for path in paths]
+            if own:
+                yield pd.DataFrame({"lang": [shard.names[i] for i in paths[:, 0]], "path": own})
+
+    return sample
+
+
+def _splitters(texts: DataFrame, found: Shared, ranges: int, size: int) -> list[tuple]:
+    """Paths that cut the nodes into about ``ranges`` even ranges, from a sample in proportion to them; the driver gets SAMPLE_A_RANGE paths a range."""
+    sample = hash_sample(texts, ["lang", "text"], SAMPLE_TEXTS_A_RANGE * ranges).mapInPandas(_sampled(size, found), "lang string, path string").distinct()
+    own = sorted((r["lang"], tuple(r["path"].split(" ")) if r["path"] else ()) for r in hash_sample(stored(sample, "sample"), ["lang", "path"], SAMPLE_A_RANGE * ranges).collect())
+    return sorted({own[len(own) * i // ranges] for i in range(1, ranges)}) if own else []
+
+
+def _merge(least: int):
+    def one(bodies: list[bytes]) -> Iterator[pd.DataFrame]:
+        paths, counts, words, langs = merged(bodies)
+        kept = (counts >= least) | (paths[:, 1] == 0)
+        paths, counts = paths[kept], counts[kept]
+        lefts = walked(paths, counts)
+        depth = (paths[:, 1:] > 0).sum(axis=1)
+        if not len(paths):
+            return
+        yield pd.DataFrame({
+            "lang": [langs[i - 1] for i in paths[:, 0]], "words": [[words[i - 1] for i in path[:d]] for path, d in zip(paths[:, 1:].tolist(), depth.tolist(), strict=True)], "f": counts,
+            "lefts": [[None if x < 0 else x for x in left[:d]] for left, d in zip(lefts.tolist(), depth.tolist(), strict=True)],
+        })
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, bodies = None, []
         for pdf in frames:
-            out = []
-            for lang, words, number in zip(pdf["lang"], pdf["words"], pdf["f"].tolist(), strict=True):
-                here = (lang, tuple(words))
-                if here == key:
-                    f += number
-                    continue
-                if key is not None:
-                    out += settled()
-                key, f = here, number
-            if out:
-                yield pd.DataFrame(out, columns=["lang", "words", "f", "lefts"])
-        if key is not None and (out := settled()):
-            yield pd.DataFrame(out, columns=["lang", "words", "f", "lefts"])
-
-    return walk
+            for own, body in zip(pdf["range"].tolist(), pdf["body"], strict=True):
+                if own != at and bodies:
+                    yield from one(bodies)
+                    bodies = []
+                at = own
+                bodies.append(body)
+        if bodies:
+            yield from one(bodies)
+
+    return merge
 
 
 def frequent(docs: DataFrame, least: int, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """(lang, words, f, lefts): all phrases of up to DEPTH words with f >= least, and each language's root with its number of words."""
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    sent = Shared(spark, pair_filter(texts, least, shard_words))
-    nodes = stored(texts.mapInPandas(_tries(shard_words, sent), NODES), "tries")
-    runs = nodes.repartitionByRange(shuffle_partitions(spark), "lang", "words").sortWithinPartitions("lang", "words")
-    return stored(runs.mapInPandas(_walk(least), f"{NODES}, lefts array<long>"), "frequent")
+    found = pair_filter(texts, least, shard_words)
+    parts = shuffle_partitions(spark)
+    splitters = _splitters(texts, Shared(spark, found), RANGES_A_PARTITION * parts, shard_words)
+    blocks = texts.mapInPandas(_tries(shard_words, Shared(spark, (*found, splitters))), "range int, body binary")
+    runs = blocks.repartition(parts, "range").sortWithinPartitions("range")
+    return stored(runs.mapInPandas(_merge(least), f"{NODES}, lefts array<long>"), "frequent")
 
 
 def _phrase(words) -> F.Column:
