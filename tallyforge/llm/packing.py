@@ -4,12 +4,13 @@
    pieces are written once, numbered within task and length.
 2. The histogram of lengths (at most ``capacity`` rows) goes to the driver. The
    configuration program asks for the fewest sequences whose patterns cover all
-   counts; multiplicative weights solve it: a length's price is its weight over
-   its count, the dearest pattern comes from a knapsack dynamic program, and
-   what patterns have covered loses weight. Rounds end at the gap to the dual's
-   bound or after ROUNDS. The fractional solution is rounded down; what is left
-   is packed by best fit, in bulk, and where best fit alone needs fewer
-   sequences, it is taken.
+   counts; multiplicative weights solve it. In each round a knapsack dynamic program
+   over the prices (the weights) gives the worth of every room, and with it the dual's
+   bound; patterns are read off that table, from the longest length left on, and bought
+   in whole numbers while they are worth nearly as much as the dearest, so a round's purchases
+   are already rounded. What no such pattern holds goes to best fit. Lengths that the purchases
+   didn't cover, or only in patterns that leave room, gain weight against the others. Rounds end at the gap to the bound or after
+   ROUNDS; the fewest sequences count.
 3. A piece's rank among its length is the number in its task plus that of earlier
    tasks; the patterns' slots, a bounded table, give its sequence and offset.
 
@@ -34,9 +35,11 @@ from .common import Shared, stored
 from .vocabularies import Lazy
 
 CAPACITY = 2048
-ROUNDS = 300
+ROUNDS = 40
 RATE = 0.2
 GAP = 0.002
+#: A pattern is bought if it is worth all but so much of the dearest one.
+SLACKS = (0.002, 0.01, 0.03)
 PIECE = "id {id}, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
@@ -46,57 +49,57 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def best_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> Counter:
-    """The dearest multiset of lengths within the capacity: unbounded knapsack by dynamic programming. lengths ascend."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def worths(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The worth of the dearest multiset of lengths within each room: unbounded knapsack by dynamic programming. lengths ascend."""
+    best = np.zeros(capacity + 1)
     fitting = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(int(lengths[0]), capacity + 1):
         k = fitting[c]
-        worth = best[c - lengths[:k]] + prices[:k]
-        i = int(worth.argmax())
-        if worth[i] > best[c - 1]:
-            best[c], took[c] = worth[i], i
-        else:
-            best[c] = best[c - 1]
-    pattern, c = Counter(), capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            pattern[int(lengths[took[c]])] += 1
-            c -= int(lengths[took[c]])
-    return pattern
-
-
-def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], float]], float]:
-    """(pattern, times) of a fractional cover, and a lower bound of the program, by multiplicative weights.
-
-    The program: the fewest sequences, in fractions of patterns, that cover every length's count. Its dual prices
-    lengths so that no pattern is dearer than 1. Each length has a weight, and its price is the weight over its count,
-    at first in proportion to the length. A round buys the dearest pattern as often as its scarcest length
-    allows, and a length's weight falls by exp(-RATE) for each time that its count is covered. What the prices give
-    for all pieces, over the dearest pattern, bounds the program from below; the cover is the purchases over the
-    least cover. Rounds end where the two are within GAP of each other.
-    """
-    lengths = np.array(sorted(histogram))
-    counts = np.array([histogram[n] for n in lengths.tolist()], float)
-    at = {n: i for i, n in enumerate(lengths.tolist())}
-    prices, covered, bound = lengths / capacity, np.zeros(len(lengths)), 0.0
-    times: dict[tuple, float] = {}
-    for _ in range(rounds):
-        pattern = best_pattern(lengths, prices, capacity)
-        own, used = [at[n] for n in pattern], np.array(list(pattern.values()), float)
-        bound = max(bound, float(prices @ counts / (prices[own] @ used)))
-        step = float((counts[own] / used).min())
-        key = tuple(sorted(pattern.items()))
-        times[key] = times.get(key, 0.0) + step
-        covered[own] += step * used / counts[own]
-        prices[own] *= np.exp(-RATE * step * used / counts[own])
-        if covered.min() > 0 and sum(times.values()) / covered.min() <= (1 + GAP) * bound:
+        best[c] = max(best[c - 1], (best[c - lengths[:k]] + prices[:k]).max())
+    return best
+
+
+def pattern_with(first: int, lengths: np.ndarray, prices: np.ndarray, best: np.ndarray, left: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """(numbers of each length's pieces, worth): a pattern with the length at place ``first``, filled along the table of worths with what is left."""
+    used = np.zeros(len(lengths), np.int64)
+    used[first] = 1
+    room, worth = capacity - int(lengths[first]), float(prices[first])
+    while room >= lengths[0]:
+        k = int(np.searchsorted(lengths, room, "right"))
+        value = np.where(left[:k] > used[:k], best[room - lengths[:k]] + prices[:k], -1.0)
+        i = k - 1 - int(value[::-1].argmax())  # of equals, the longest
+        if value[i] < 0:
             break
-    # lengths that no purchase reached yet leave the cover open; what it lacks is packed by best fit
-    scale = max(1.0, covered.min())
-    return [(dict(p), t / scale) for p, t in times.items()], bound
+        used[i] += 1
+        room, worth = room - int(lengths[i]), worth + float(prices[i])
+    return used, worth
+
+
+def purchases(lengths: np.ndarray, counts: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray, float]:
+    """(patterns and times, what they leave of each length, the dual's bound) at the given prices."""
+    left, out, bound = counts.copy(), [], 0.0
+    for slack in SLACKS:
+        bought = True
+        while bought and left.any():
+            bought = False
+            open_ = np.flatnonzero(left)
+            own, price = lengths[open_], prices[open_]
+            best = worths(own, price, capacity)
+            if not bound:
+                bound = float(prices @ counts / best[capacity])
+            rest = left[open_]
+            for i in range(len(own) - 1, -1, -1):
+                while rest[i]:
+                    used, worth = pattern_with(i, own, price, best, rest, capacity)
+                    if worth < (1 - slack) * best[capacity]:
+                        break
+                    at = np.flatnonzero(used)
+                    times = int((rest[at] // used[at]).min())
+                    out.append(({int(own[j]): int(used[j]) for j in at}, times))
+                    rest[at] -= times * used[at]
+                    bought = True
+            left[open_] = rest
+    return out, left, bound
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -118,29 +121,40 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     return [(dict(p), k) for groups in rooms.values() for p, k in groups]
 
 
-def rounded(cover: list[tuple[dict[int, int], float]], histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """The cover's patterns, most used first, in whole numbers that take no length beyond its count; best fit for what is left."""
-    left, out = dict(histogram), []
-    for pattern, times in sorted(cover, key=lambda x: -x[1]):
-        whole = min(int(times + 1e-9), *(left[n] // k for n, k in pattern.items()))
-        if whole:
-            out.append((pattern, whole))
-            for n, k in pattern.items():
-                left[n] -= whole * k
-    return out + best_fit(left, capacity)
-
-
 def sequences(solution: list[tuple[dict[int, int], int]]) -> int:
     return sum(times for _, times in solution)
 
 
+def program(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], int, float]:
+    """(pattern, times) in whole numbers that hold exactly the histogram's pieces, how many of the pieces the program's own patterns hold, and a lower bound of the program."""
+    lengths = np.array(sorted(histogram))
+    counts = np.array([histogram[n] for n in lengths.tolist()])
+    prices, found, bound, own = lengths / capacity, None, 0.0, 0
+    for _ in range(rounds):
+        bought, left, least = purchases(lengths, counts, prices, capacity)
+        whole = bought + best_fit(dict(zip(lengths.tolist(), left.tolist(), strict=True)), capacity)
+        bound = max(bound, least)
+        if found is None or sequences(whole) < sequences(found):
+            found, own = whole, int((counts - left).sum())
+        if sequences(found) <= max(np.ceil(bound - 1e-6), (1 + GAP) * bound):
+            break
+        room = np.zeros(len(lengths))  # that the patterns of a length leave empty, of a sequence, on average
+        for pattern, times in whole:
+            empty = 1 - sum(n * k for n, k in pattern.items()) / capacity
+            for n, k in pattern.items():
+                room[np.searchsorted(lengths, n)] += empty * times * k
+        prices = prices * np.exp(RATE * (room / counts + left / counts))
+        prices /= prices.max()
+    return found, own, bound
+
+
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """(pattern, times): whole patterns that hold exactly the histogram's pieces, never more than best fit alone takes."""
     left = {n: c for n, c in histogram.items() if 0 < n < capacity and c}
     full = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
     if not left:
         return full
-    return full + min(rounded(fractional(left, capacity, rounds)[0], left, capacity), best_fit(left, capacity), key=sequences)
+    return full + min(program(left, capacity, rounds)[0], best_fit(left, capacity), key=sequences)
 
 
 def slots(solution: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:

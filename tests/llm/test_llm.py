@@ -268,6 +268,18 @@ def test_packing_is_never_worse_than_best_fit():
     assert better > 8  # of 12
 
 
+@pytest.mark.parametrize("spread,pieces", [(1.1, 500_000), (0.7, 20_000), (1.3, 1_000)])
+def test_packing_comes_from_the_program(spread, pieces):
+    """Log-normal lengths: the program's own patterns hold 90 percent of the pieces or more, within 1 percent of its bound, in no more than best fit takes."""
+    lengths = np.clip(np.random.default_rng(pieces).lognormal(5.5, spread, pieces), 1, packing.CAPACITY - 1).astype(int)
+    own = Counter(lengths.tolist())
+    solution, by_program, bound = packing.program(own, packing.CAPACITY)
+    assert held(solution) == own and all(sum(n * k for n, k in p.items()) <= packing.CAPACITY for p, _ in solution)
+    assert by_program >= 0.9 * pieces
+    assert math.ceil(bound - 1e-6) <= packing.sequences(solution) <= max(math.ceil(1.01 * bound), math.ceil(bound) + 1)
+    assert packing.sequences(solution) <= packing.sequences(packing.best_fit(dict(own), packing.CAPACITY))
+
+
 def test_packing_equals_the_optimum_of_tiny_tables():
     def fewest(items):
         """The largest piece with every set of others that fits; then the rest."""
