@@ -12,11 +12,12 @@ what is left is intersected; without one, every likeness is exact.
 The position of an anchor less the number of anchors before it is the number of
 content words before it, so chains are slices and a text costs linear time.
 
-Neighbours in order of the id (then of a hash of the text): a bounded sample of the
-rows' keys cuts them into ranges of about RANGE_BYTES of text, a window within each
-range takes the following row, and a copy of each range's first row, one row a
-range, stands at the end of the range before it. Texts are shuffled once;
-signatures are computed behind the shuffle.
+Neighbours in order of the id (then of a hash of the text): a sample of
+the rows' keys, some for each range, cuts them into ranges of about RANGE_BYTES of text, at most
+MOST_RANGES, as larger ranges only mean longer sorts. The cuts are one constant of the plan, and a row finds its
+range among them by bisection. A window within each range takes the following row, and a
+copy of each range's first row, one row a range, stands at the end of the range before it.
+Texts are shuffled once; signatures are computed behind the shuffle.
 
 Defined results for odd input: null texts are empty and have the empty
 fingerprint; a text without anchors has the chains of all its words, one
@@ -28,6 +29,7 @@ no rows. Only the named columns are read.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,7 +39,7 @@ from .common import hash_sample, let, shuffle_partitions
 
 CHAIN = 3
 RANGE_BYTES = 32 << 20
-KEYS_A_RANGE = 64
+KEYS_A_RANGE, MOST_RANGES = 16, 1 << 16
 #: Common words of English, German, French and Spanish.
 COMMON_WORDS = (
     "the of and to a in is that it for was on with be by as this are at from or an not have had but which you were his her they "
@@ -100,16 +102,17 @@ def with_next(rows: DataFrame, ranges: int | None = None) -> DataFrame:
     if ranges is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         ranges = max(shuffle_partitions(rows.sparkSession), -(-size // RANGE_BYTES))
-    kind = rows.schema["id"].dataType
     key = F.struct(F.col("id").isNotNull().alias("keyed"), F.col("id").alias("own"), F.xxhash64("text").alias("hash"))
-    starts = range_starts(rows, key, ranges)
+    starts = range_starts(rows, key, min(ranges, MOST_RANGES))
     if starts[0] is None:  # no rows
         return rows.select("*", F.xxhash64("text").alias("hash"), F.lit(0).alias("range"), F.lit(False).alias("guest"), F.lit(None).cast("string").alias("next_text"))
-    firsts = F.array(*(F.struct(F.lit(k["keyed"]).alias("keyed"), F.lit(k["own"]).cast(kind).alias("own"), F.lit(k["hash"]).cast("long").alias("hash")) for k in starts))
-    # ranges begin at a key not greater than the row's own
-    place = let(key, lambda own: F.size(F.filter(firsts, lambda k: k <= own)) - 1)
-    dealt = rows.select("*", F.xxhash64("text").alias("hash"), place.alias("range"), F.lit(False).alias("guest"))
-    first = dealt.where(F.array_contains(firsts, key)).groupBy("range").agg(F.min_by(F.struct(*rows.columns, "hash"), F.struct("hash", "text")).alias("row"))
+    shape = f"array<struct<keyed:boolean,own:{rows.schema['id'].dataType.simpleString()},hash:bigint>>"
+    firsts = F.from_json(F.lit(json.dumps([k.asDict() for k in starts], default=str)), shape)
+    # ranges begin at a key not greater than the row's own: steps that halve lead to the last such one
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(starts).bit_length()))))
+    place = lambda own: let(firsts, lambda f: F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(f, at + step) <= own, at + step).otherwise(at)))
+    dealt = rows.select("*", F.xxhash64("text").alias("hash"), let(key, place).alias("range"), F.lit(False).alias("guest"))
+    first = dealt.where(let(firsts, lambda f: F.get(f, F.col("range")) == key)).groupBy("range").agg(F.min_by(F.struct(*rows.columns, "hash"), F.struct("hash", "text")).alias("row"))
     guests = first.select("row.*", F.pmod(F.col("range") - 1, F.lit(len(starts))).alias("range"), F.lit(True).alias("guest"))
     return dealt.unionByName(guests).withColumn("next_text", F.lead("text").over(order_of_ranges()))
 
