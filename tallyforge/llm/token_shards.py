@@ -13,8 +13,11 @@ a hash of the key. A part holds a minimal perfect hash of its keys: levels of bi
 vectors, where a key takes the first level whose bit it alone hashes to; the
 rank of the bit is the key's slot, which holds a fingerprint (to turn away keys
 that are not there) and the places of its documents (shard, segment, first and last
-document). A keyed access is a hash or two, a rank and a slice of one
-segment, whatever the size of the corpus.
+document). A third, small folder is the manifest: a row for each part of the payload
+with the number of ids before it, and one with the number of index parts. A keyed access
+reads that number, the index parts of its keys (the index lies in order of the parts, so a
+scan skips the others), and the segments that those name: a hash or two, a rank and a
+slice of one segment, whatever the size of the corpus.
 
 Defined results for odd input: a null or empty text is a document of the end id
 alone; null keys come first and are in no index; repeated keys share a slot that
@@ -30,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Shared, shuffle_partitions
+from .common import Shared, shuffle_partitions, stored
 from .vocabularies import Lazy
 
 SEGMENT_TOKENS = 1 << 18
@@ -43,6 +46,9 @@ BATCH_TEXTS = 256
 LOAD = 1.7
 MOST_FILTERED = 1000
 PAYLOAD = "part int, segment int, before long, n_docs long, n_tokens long, width int, nulls int, keys binary, offsets binary, ids binary"
+MANIFEST = "part int, base long, n_docs long, shards int"
+#: A manifest of so many rows (16 bytes each) is sent to all tasks; a larger one is joined.
+MOST_SENT = 1 << 21
 INDEX = "shard int, level_sizes array<long>, bits binary, fingerprints binary, spans binary, places binary"
 
 
@@ -197,16 +203,21 @@ def write_shards(docs: DataFrame, vocabulary: Lazy, end_id: int, path: str, voca
     ordered.select(F.coalesce("own", F.lit(0)).alias("key"), (~F.col("keyed")).alias("no_key"), "text").mapInPandas(write, PAYLOAD).write.parquet(f"{path}/payload")
 
     payload = spark.read.schema(PAYLOAD).parquet(f"{path}/payload")
-    shards = max(1, -(-(payload.agg(F.sum("n_docs")).first()[0] or 0) // INDEX_KEYS))
+    parts = payload.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.sum("n_docs").alias("n_docs"))
+    shards = max(1, -(-(parts.agg(F.sum("n_docs")).first()[0] or 0) // INDEX_KEYS))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    manifest = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), "n_docs", F.lit(None).cast("int").alias("shards"))
+    manifest.unionByName(spark.createDataFrame([(-1, 0, 0, shards)], MANIFEST)).coalesce(1).write.parquet(f"{path}/manifest")
     runs = payload.select("part", "segment", "nulls", "keys").mapInPandas(key_runs, "key long, part int, segment int, first int, last int")
-    runs.withColumn("shard", shard_of("key", shards)).groupBy("shard").applyInPandas(index_part, INDEX).write.parquet(f"{path}/index")
+    built = runs.withColumn("shard", shard_of("key", shards)).groupBy("shard").applyInPandas(index_part, INDEX)
+    stored(built, "index").repartitionByRange(min(shards, shuffle_partitions(spark)), "shard").sortWithinPartitions("shard").write.parquet(f"{path}/index")
 
 
 def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document in the files."""
     payload = spark.read.schema(PAYLOAD).parquet(f"{path}/payload")
-    totals = payload.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row for each range partition
-    bases = dict(zip((r["part"] for r in totals), np.cumsum([0, *(r["n"] for r in totals)])[:-1].tolist(), strict=True))
+    bases = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").where("part >= 0").select("part", "base")
+    whole = payload.join(F.broadcast(bases) if bases.count() <= MOST_SENT else bases, "part")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -214,19 +225,21 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
                 segment = Segment(row)
                 n, offsets = row["n_docs"], segment.offsets
                 crc = [zlib.crc32(segment.document(i)) for i in range(n)]
-                out = pd.DataFrame({"id": pd.array(segment.keys, "Int64"), "start": offsets[:-1] + row["before"] + bases[row["part"]], "n_tokens": np.diff(offsets), "ids_crc32": crc})
+                out = pd.DataFrame({"id": pd.array(segment.keys, "Int64"), "start": offsets[:-1] + row["before"] + row["base"], "n_tokens": np.diff(offsets), "ids_crc32": crc})
                 out.loc[: row["nulls"] - 1, "id"] = pd.NA
                 yield out
 
-    return payload.mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return whole.mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, ids) of the documents of ``keys``: a key's index part gives its segments, whose slices are read."""
     payload, index = spark.read.schema(PAYLOAD).parquet(f"{path}/payload"), spark.read.schema(INDEX).parquet(f"{path}/index")
-    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
-    shards = max(shards, -(-(payload.agg(F.sum("n_docs")).first()[0] or 0) // INDEX_KEYS))
+    shards = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").where("part = -1").first()["shards"]
     wanted = keys.select(F.col(id_col).cast("long").alias("key")).where("key IS NOT NULL").distinct().withColumn("shard", shard_of("key", shards))
+    asked = [r[0] for r in wanted.select("shard").distinct().limit(MOST_FILTERED + 1).collect()]
+    if len(asked) <= MOST_FILTERED:  # few index parts: the scan leaves out the others
+        index = index.where(F.col("shard").isin(asked))
     places = index.join(wanted.select("shard").distinct(), "shard", "left_semi").groupBy("shard").cogroup(wanted.groupBy("shard")).applyInPandas(find_places, "key long, part int, segment int, first int, last int")
 
     def fetch(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
