@@ -72,3 +72,14 @@ def hash_sample(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
     total = df.count()
     share = min(1.0, rows / max(1, total))
     return df if share == 1.0 else df.where(F.pmod(F.xxhash64(F.lit(3), *columns), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes not to be one of the columns (Spark's names ignore case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

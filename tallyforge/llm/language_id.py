@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared
+from .common import Shared, free
 
 BUCKETS = 1 << 16
 ORDERS = 3
@@ -159,7 +159,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the predicted language with its posterior probability."""
+    """All columns of ``docs`` and the predicted language with its posterior probability; these replace columns of ``docs`` with their names."""
     sent = Shared(docs.sparkSession, model)
 
     @F.pandas_udf("lang string, score double")
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_
                 sure[has_letter] = p[has_letter]
             yield pd.DataFrame({"lang": lang, "score": sure})
 
-    held = "__language_id"
+    [held] = free(docs, "language_id")
     return docs.withColumn(held, predict(F.col(text_col))).withColumns({lang_pred: F.col(f"{held}.lang"), score: F.col(f"{held}.score")}).drop(held)
 
 

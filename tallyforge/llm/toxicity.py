@@ -227,7 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
-    """``docs`` and a struct: score, predicted, passages (begin, end, normalised score, the words' text)."""
+    """``docs`` and a struct: score, predicted, passages (begin, end, normalised score, the words' text). A column of ``docs`` named ``out`` is replaced."""
     sent = Shared(docs.sparkSession, model)
 
     @F.pandas_udf("score double, predicted int, passages array<struct<begin:int,end:int,score:double>>")
