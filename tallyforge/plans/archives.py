@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents, fuzzy, resolve
-from ..sources import parsers, pdf, store
+from ..sources import containers, office, parsers, pdf, store
 from ..streaming import replay
 from .base import Tables, query
 
@@ -102,3 +102,55 @@ def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.shared_folder(spark)
     both.write.parquet(path)
     return replay.replayed_once(spark, path, both.schema, 2 * _DAY, "1 hour")
+
+
+@query("""WITH c AS (SELECT c_custkey // 200 AS file, row_number() OVER (PARTITION BY c_custkey // 200 ORDER BY c_custkey) AS r, c_custkey, c_name, c_mktsegment FROM customer)
+SELECT file, u.col || r AS cell, CASE u.col WHEN 'A' THEN CAST(c_custkey AS VARCHAR) WHEN 'B' THEN c_name WHEN 'C' THEN '<' || c_mktsegment || ' & co>' END AS text, u.col = 'D' AS is_formula FROM c, (VALUES ('A'), ('B'), ('C'), ('D')) u(col)""")
+def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks of 200 customers each, written and read back: shared strings, and formulas without values."""
+    row = F.array(F.col("c_custkey").cast("string"), "c_name", F.concat(F.lit("<"), "c_mktsegment", F.lit(" & co>")), F.lit("=A1&B1"))
+    books = Tables(spark, sf_dir).customer.groupBy(F.expr("c_custkey div 200").alias("file")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("row")))).alias("rows"))
+    files = office.written(books.select("file", F.transform("rows", lambda x: x["row"]).alias("rows")), "file", "rows", office.workbook)
+    return parsers.read_as(files, "xlsx", "file").select("file", "cell", "text", "is_formula")
+
+
+@query("""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS ordinal, CASE WHEN role = 'user' THEN 'Heading1' END AS style, sha256(replace(text, chr(10), ' ')) AS text_sha256 FROM conversations WHERE trim(replace(text, chr(10), ' ')) <> ''""")
+def document_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text document for each conversation, a paragraph a turn and headings for the user's, written and read back."""
+    text = F.concat(F.when(F.col("role") == "user", "# ").otherwise(""), F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
+    turns = Tables(spark, sf_dir).conversations.where("text IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", text.alias("text")))).alias("turns"))
+    files = office.written(turns.select("conv_id", F.transform("turns", lambda x: x["text"]).alias("lines")), "conv_id", "lines", office.document)
+    found = parsers.read_as(files, "docx", "conv_id").where("error IS NULL")
+    return found.select("conv_id", "ordinal", "style", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query("""WITH k AS (SELECT r_regionkey, 'nation' || n_nationkey || '.csv' AS name, 'promoted' AS disposition, sha256(n_name) AS body FROM region JOIN nation ON n_regionkey = r_regionkey
+UNION ALL SELECT r_regionkey, u.name, u.disposition, NULL FROM region, (VALUES ('../up.csv', 'blocked:path'), ('/root.csv', 'blocked:path'), ('inner.zip', 'blocked:nested'), ('__MACOSX/x', 'sidecar'), ('folder/', 'directory')) u(name, disposition)
+UNION ALL SELECT r_regionkey, 'NATION' || min(n_nationkey) || '.CSV', 'blocked:collision', NULL FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1)
+SELECT r_regionkey, name, disposition, body AS body_sha256 FROM k""")
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive for each region with a member a nation, and members that must not be unpacked."""
+    nations = Tables(spark, sf_dir).nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
+    own = F.transform("n", lambda x: F.array(F.concat(F.lit("nation"), x["n_nationkey"].cast("string"), F.lit(".csv")), x["n_name"]))
+    again = F.array(F.array(F.concat(F.lit("NATION"), F.element_at("n", 1)["n_nationkey"].cast("string"), F.lit(".CSV")), F.lit("again")))
+    others = F.array(*(F.array(F.lit(n), F.lit("x" if not n.endswith("/") else "")) for n in ("../up.csv", "/root.csv", "inner.zip", "__MACOSX/x", "folder/")))
+    files = office.written(nations.select(F.col("n_regionkey").alias("r_regionkey"), F.concat(own, again, others).alias("members")), "r_regionkey", "members", office.archive)
+    found = parsers.read_as(files, "zip", "r_regionkey")
+    return found.select("r_regionkey", "name", "disposition", F.sha2("content", 256).alias("body_sha256"))
+
+
+#: Leading bytes in hexadecimal, the suffix that the file has, and what it is.
+_SIGNATURES = [
+    ("255044462D312E34", "pdf", "pdf"), ("504B030414", "xlsx", "xlsx"), ("504B030414", "docx", "docx"), ("504B0506", "bin", "zip"), ("49492A0008", "tif", "tiff"), ("4D4D002A", "dat", "tiff"), ("524946460000", "x", "riff"),
+    ("89504E470D0A1A0A00", "jpg", "png"), ("FFD8FFE0", "png", "jpg"), ("3C3F786D6C20", "txt", "xml"), ("EFBBBF3C3F786D6C", "xml", "xml"), ("3C68746D6C3E", "csv", "html"), ("612C620A", "csv", "csv"), ("00010203", "exe", "unknown"),
+]
+
+
+@query(f"""WITH s(i, head, suffix, kind) AS (VALUES {', '.join(f"({i}, '{h}', '{x}', '{k}')" for i, (h, x, k) in enumerate(_SIGNATURES))})
+SELECT kind AS format, CASE WHEN kind = 'unknown' THEN 'none' WHEN suffix = 'csv' AND kind = 'csv' THEN 'metadata' ELSE 'content' END AS basis, count(*) AS n FROM documents JOIN s ON i = doc_id % {len(_SIGNATURES)} GROUP BY 1, 2""")
+def signature_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents behind the leading bytes of all formats, under suffixes right and wrong: bytes decide before names."""
+    shapes = F.array(*(F.struct(F.lit(h).alias("head"), F.lit(x).alias("suffix")) for h, x, _ in _SIGNATURES))
+    own = Tables(spark, sf_dir).documents.select(F.get(shapes, (F.col("doc_id") % len(_SIGNATURES)).cast("int")).alias("s"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    found = containers.container(F.concat(F.unhex("s.head"), "body"), F.col("s.suffix"))
+    return own.select(found.alias("c")).groupBy(F.col("c.format").alias("format"), F.col("c.basis").alias("basis")).agg(F.count("*").alias("n"))

@@ -9,14 +9,14 @@ from ..sources import containers, parsers, store, transcripts
 from .base import Tables, query
 
 
-@query("SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INTEGER) AS row, CAST(n_nationkey AS VARCHAR) || '/' || n_name AS cells FROM nation")
+@query("SELECT c_custkey // 500 AS file, CAST(row_number() OVER (PARTITION BY c_custkey // 500 ORDER BY c_custkey) AS INTEGER) AS row, CAST(c_custkey AS VARCHAR) || '/' || c_name AS cells FROM customer")
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A CSV file for each region, strictly parsed; the header is row 0."""
-    line = F.concat(F.col("n_nationkey").cast("string"), F.lit(';"'), "n_name", F.lit('"'))
-    bodies = Tables(spark, sf_dir).nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("lines"))
-    files = bodies.select("n_regionkey", F.concat(F.lit("key;name\n"), F.concat_ws("\n", F.transform("lines", lambda x: x["line"]))).alias("content"))
-    rows = parsers.read_as(files, "csv", "n_regionkey")
-    return rows.where("row > 0").select("n_regionkey", "row", F.array_join("cells", "/").alias("cells"))
+    """CSV files of 500 customers each, strictly parsed; the header is row 0."""
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(';"'), "c_name", F.lit('"'))
+    bodies = Tables(spark, sf_dir).customer.groupBy(F.expr("c_custkey div 500").alias("file")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("lines"))
+    files = bodies.select("file", F.concat(F.lit("key;name\n"), F.concat_ws("\n", F.transform("lines", lambda x: x["line"]))).alias("content"))
+    rows = parsers.read_as(files, "csv", "file")
+    return rows.where("row > 0").select("file", "row", F.array_join("cells", "/").alias("cells"))
 
 
 @query("""SELECT r_regionkey, v.ordinal, v.type, v.node_path, v.value FROM region, LATERAL (SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'start', '/region', NULL), (1, 'attribute', '/region', CAST(r_regionkey AS VARCHAR)), (2, 'start', '/region/name', NULL), (3, 'text', '/region/name', r_name), (4, 'end', '/region/name', NULL), (5, 'end', '/region', NULL)) t(ordinal, type, node_path, value)) v""")
@@ -32,13 +32,13 @@ def xml_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).nation.select("n_nationkey", store.xml_rows(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), "nation").alias("xml"))
 
 
-@query("""SELECT n_regionkey, CAST(dense_rank() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS row, CAST(u.col AS INTEGER) AS col, CASE u.col WHEN 0 THEN CAST(n_nationkey AS VARCHAR) ELSE n_name END AS text FROM nation, (VALUES (0), (1)) u(col)""")
+@query("""SELECT s_suppkey // 50 AS page, CAST(dense_rank() OVER (PARTITION BY s_suppkey // 50 ORDER BY s_suppkey) - 1 AS INTEGER) AS row, CAST(u.col AS INTEGER) AS col, CASE u.col WHEN 0 THEN CAST(s_suppkey AS VARCHAR) ELSE s_name END AS text FROM supplier, (VALUES (0), (1)) u(col)""")
 def html_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page with a table for each region; empty cells are dropped, cells left open are closed."""
-    row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td> </td><td>"), "n_name", F.lit("</tr>"))
-    rows = Tables(spark, sf_dir).nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))).alias("rows"))
-    pages = rows.select("n_regionkey", F.concat(F.lit("<html><style>td{}</style><table>"), F.concat_ws("\n", F.transform("rows", lambda x: x["row"])), F.lit("</table>")).alias("content"))
-    return parsers.read_as(pages, "html", "n_regionkey").select("n_regionkey", "row", "col", "text")
+    """Pages with a table of 50 suppliers each; empty cells are dropped, cells left open are closed."""
+    row = F.concat(F.lit("<tr><td>"), F.col("s_suppkey").cast("string"), F.lit("</td><td> </td><td>"), "s_name", F.lit("</tr>"))
+    rows = Tables(spark, sf_dir).supplier.groupBy(F.expr("s_suppkey div 50").alias("page")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("row")))).alias("rows"))
+    pages = rows.select("page", F.concat(F.lit("<html><style>td{}</style><table>"), F.concat_ws("\n", F.transform("rows", lambda x: x["row"])), F.lit("</table>")).alias("content"))
+    return parsers.read_as(pages, "html", "page").select("page", "row", "col", "text")
 
 
 @query("""SELECT page_id, CASE WHEN lower(left(html, 9)) = '<!doctype' OR left(html, 5) = '<html' THEN 'html' ELSE 'htm' END AS format, CASE WHEN left(html, 9) IN ('<!doctype', '<!DOCTYPE') OR left(html, 5) = '<html' THEN 'content' ELSE 'metadata' END AS basis, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages""")

@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..operators import pages as P
 from ..operators import sequences as S
-from ..sources import parsers
+from ..sources import parsers, store
 from .base import Tables, query
 
 
-@query("""WITH p AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_orderkey > 500 ORDER BY o_orderkey LIMIT 25) SELECT *, sha256('orders|F|' || (SELECT max(o_orderkey) FROM p)) AS continuation FROM p""")
+@query("""WITH p AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_orderkey > 500 ORDER BY o_orderkey LIMIT 25 OFFSET 25) SELECT *, (SELECT max(o_orderkey) FROM p) AS next_after, sha256('orders|F|' || (SELECT max(o_orderkey) FROM p)) AS continuation FROM p""")
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page behind a key, with the token that continues it."""
+    """The page that the token of the one before it continues."""
     rows = Tables(spark, sf_dir).orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus")
-    return P.keyset_page(rows, "o_orderkey", 500, 25, "orders|F")
+    first = P.keyset_page(rows, "o_orderkey", 500, 25, "orders|F").first()
+    return P.resumed_page(rows, "o_orderkey", first["next_after"], first["continuation"], 25, "orders|F")
 
 
-@query("""SELECT o_orderkey, CASE WHEN n IS NULL THEN 'missing' WHEN n = o_orderkey % 5 + 1 THEN 'fresh' ELSE 'stale' END AS status FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+@query("""SELECT o_orderkey, CASE WHEN coalesce(old, 0) = 0 THEN 'missing' WHEN n = old THEN 'fresh' ELSE 'stale' END AS status FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_shipdate < TIMESTAMP '1997-01-01') AS old FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def fresh_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders bound to a number of lines, against the lines that are there now."""
+    """Orders bound to the line counts of a published snapshot (the lines shipped before 1997), against the lines that are there now."""
     t = Tables(spark, sf_dir)
-    bound = t.orders.select("o_orderkey", (F.col("o_orderkey") % 5 + 1).alias("version"))
-    now = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("version"))
-    return P.fresh_only(t.orders.select("o_orderkey"), bound, now, "o_orderkey", "version")
+    counts = lambda lines: lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("version"))
+    old = counts(t.lineitem.where(F.col("l_shipdate").cast("timestamp_ntz") < F.lit("1997-01-01").cast("timestamp_ntz")))
+    path = store.publish_snapshot(old, store.shared_folder(spark), "1996")
+    return P.fresh_only(t.orders.select("o_orderkey"), spark.read.schema(old.schema).parquet(path), counts(t.lineitem), "o_orderkey", "version")
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('purchase', 'signup', 'view')")
@@ -37,9 +39,9 @@ def unclassified_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS pos, event_id AS ref FROM events")
 def provenance_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The references of a record, exploded with their places."""
-    refs = Tables(spark, sf_dir).events.groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("refs"))
-    return refs.select("user_id", F.posexplode("refs").alias("pos", "ref"))
+    """The references of a record with their places."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return Tables(spark, sf_dir).events.select("user_id", place.alias("pos"), F.col("event_id").alias("ref"))
 
 
 @query("SELECT DISTINCT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45))")
@@ -97,16 +99,16 @@ def header_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).part.select("p_partkey", V.looks_like_header(cells).alias("header"))
 
 
-@query("""WITH c AS (SELECT c_nationkey, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer)
-SELECT c_nationkey, count(*) AS n_rows, string_agg(c_custkey || '/' || c_name, ';' ORDER BY k) FILTER (k <= 5) AS preview FROM c GROUP BY c_nationkey""")
+@query("""WITH c AS (SELECT c_custkey // 400 AS file, c_custkey, c_name, row_number() OVER (PARTITION BY c_custkey // 400 ORDER BY c_custkey) AS k FROM customer)
+SELECT file, count(*) AS n_rows, string_agg(c_custkey || '/' || c_name, ';' ORDER BY k) FILTER (k <= 5) AS preview FROM c GROUP BY file""")
 def csv_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five rows of a CSV file for each nation, beside the number of all rows."""
+    """The first five rows of CSV files of 400 customers each, beside the number of all rows."""
     line = F.concat(F.col("c_custkey").cast("string"), F.lit(';"'), "c_name", F.lit('"'))
-    bodies = Tables(spark, sf_dir).customer.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("lines"))
-    files = bodies.select("c_nationkey", F.concat(F.lit("key;name\n"), F.concat_ws("\n", F.transform("lines", lambda x: x["line"]))).alias("content"))
-    rows = parsers.read_as(files, "csv", "c_nationkey").where("row > 0")
+    bodies = Tables(spark, sf_dir).customer.groupBy(F.expr("c_custkey div 400").alias("file")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("lines"))
+    files = bodies.select("file", F.concat(F.lit("key;name\n"), F.concat_ws("\n", F.transform("lines", lambda x: x["line"]))).alias("content"))
+    rows = parsers.read_as(files, "csv", "file").where("row > 0")
     shown = F.transform(F.array_sort(F.collect_list(F.when(F.col("row") <= 5, F.struct("row", F.array_join("cells", "/").alias("cells"))))), lambda x: x["cells"])
-    return rows.groupBy("c_nationkey").agg(F.count("*").alias("n_rows"), F.array_join(shown, ";").alias("preview"))
+    return rows.groupBy("file").agg(F.count("*").alias("n_rows"), F.array_join(shown, ";").alias("preview"))
 
 
 @query(r"""SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(list_filter(l, lambda x: trim(x, ' ' || chr(9)) <> '')) AS BIGINT) AS n_filled, CAST(list_max(list_transform(l, lambda x: length(x))) AS BIGINT) AS longest FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n') AS l FROM documents)""")
