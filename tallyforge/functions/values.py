@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,24 +55,27 @@ def looks_like_header(cells: Column) -> Column:
 
 
 def sequence_distance(left: Column, right: Column) -> Column:
-    """Edit distance of two arrays of tokens: each token stands as one character, numbered by its place among the tokens of both."""
+    """Edit distance of two arrays of tokens: each token stands as one character, numbered by its place among the tokens of both (a million at most)."""
     tokens = F.array_distinct(F.concat(left, right))
-    # characters from U+4E00 on: one code point a token, none of them special
-    coded = lambda side: F.array_join(F.transform(side, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(tokens, t) + 0x4E00), 4, "0")), "UTF-16BE")), "")
+    # code points from U+10000 on: beyond the surrogates, one character a token
+    coded = lambda side: F.array_join(F.transform(side, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(tokens, t) + 0xFFFF), 8, "0")), "UTF-32")), "")
     return F.levenshtein(coded(left), coded(right))
 
 
 def common_length(left: Column, right: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: a fold over the left one of the dynamic program's rows."""
-    zero = F.transform(right, lambda _: F.lit(0))
+    """Length of the longest common subsequence of two arrays of strings, null if either is: the dynamic program's rows, each a running maximum."""
 
-    def row(before: Column, token: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            at = F.size(done)
-            up, corner = F.get(before, at), F.coalesce(F.get(before, at - 1), F.lit(0))
-            best = F.when(j == token, corner + 1).otherwise(F.greatest(up, F.coalesce(F.get(done, at - 1), F.lit(0))))
-            return F.concat(done, F.array(best))
+    @F.pandas_udf("int")
+    def of(lefts: pd.Series, rights: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else _common(a, b) for a, b in zip(lefts, rights, strict=True)], dtype="Int32")
 
-        return F.aggregate(right, F.array().cast("array<int>"), cell)
+    return of(left, right)
 
-    return F.when(F.size(right) > 0, F.element_at(F.aggregate(left, zero, row), -1)).otherwise(0)
+
+def _common(a, b) -> int:
+    places = {t: i for i, t in enumerate(dict.fromkeys([*a, *b]))}
+    other = np.array([places[t] for t in b], np.int64)
+    row = np.zeros(len(other) + 1, np.int32)
+    for t in a:
+        row[1:] = np.maximum.accumulate(np.where(other == places[t], row[:-1] + 1, row[1:]))
+    return int(row[-1])

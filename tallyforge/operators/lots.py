@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sequences import basis_gaps, fifo_matches
 
 
 def priced_matches(rows: DataFrame, group: str, order: list[str], is_buy: Column, quantity: str, ref: str, cents: str) -> DataFrame:
-    """(group, buy_ref, sell_ref, matched, buy_quantity, cost): matches with the share of the buy's cost, in whole cents, rounded down."""
+    """(group, buy_ref, sell_ref, matched, buy_quantity, cost): matches with the share of the buy's cost in whole cents.
+
+    A share is the difference of two rounded-down parts, up to the match's end and up to its start, so the shares of a buy that is used up add up to its cost.
+    """
     matches = fifo_matches(rows, group, order, is_buy, quantity, ref)
     buys = rows.where(is_buy).select(group, F.col(ref).alias("buy_ref"), F.col(quantity).alias("buy_quantity"), F.col(cents).alias("__cents"))
-    share = F.floor(F.col("matched").cast("decimal(38,0)") * F.col("__cents") / F.col("buy_quantity"))
+    part = lambda taken: F.expr(f"CAST({taken} AS DECIMAL(38,0)) * __cents div CAST(buy_quantity AS DECIMAL(38,0))")
+    share = part("(buy_quantity - rest)") - part("(buy_quantity - rest - matched)")
     return matches.join(buys, [group, "buy_ref"]).select(group, "buy_ref", "sell_ref", "matched", "buy_quantity", share.cast("long").alias("cost"))
 
 
@@ -28,9 +32,12 @@ def disposal_costs(rows: DataFrame, group: str, order: list[str], is_buy: Column
 def ambiguous_days(rows: DataFrame, group: str, day: str, is_buy: Column, quantity: str, ref: str, cents: str) -> DataFrame:
     """(group, day): buys of one day at different unit costs that sells consume in part, so that their order would decide the cost."""
     taken = fifo_matches(rows, group, [day], is_buy, quantity, ref).groupBy(group, "buy_ref").agg(F.sum("matched").alias("taken"))
-    buys = rows.where(is_buy).select(group, day, F.col(ref).alias("buy_ref"), quantity, (F.col(cents) * 1000 / F.col(quantity)).cast("decimal(38,0)").alias("unit"))
-    days = buys.join(taken, [group, "buy_ref"], "left").groupBy(group, day).agg(F.count_distinct("unit").alias("units"), F.sum(quantity).alias("bought"), F.coalesce(F.sum("taken"), F.lit(0)).alias("taken"))
-    return days.where("units > 1 AND taken > 0 AND taken < bought").select(group, day)
+    buys = rows.where(is_buy).select(group, day, F.col(ref).alias("buy_ref"), quantity, F.col(cents).alias("__cents"))
+    exact = lambda c: F.col(c).cast("decimal(38,0)")
+    first = lambda c: F.first(exact(c)).over(Window.partitionBy(group, day).orderBy("buy_ref"))
+    buys = buys.withColumn("other", exact("__cents") * first(quantity) != first("__cents") * exact(quantity))  # unit costs, by cross products
+    days = buys.join(taken, [group, "buy_ref"], "left").groupBy(group, day).agg(F.bool_or("other").alias("several"), F.sum(quantity).alias("bought"), F.coalesce(F.sum("taken"), F.lit(0)).alias("taken"))
+    return days.where("several AND taken > 0 AND taken < bought").select(group, day)
 
 
 def group_states(rows: DataFrame, group: str, day: str, is_buy: Column, quantity: str, ref: str, cents: str) -> DataFrame:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def keyset_page(rows: DataFrame, key: str, after, size: int, scope: str) -> DataFrame:
-    """The ``size`` rows that follow the key ``after`` (None: from the start), each with the token that continues behind the page: a digest of scope and last key."""
+    """The ``size`` rows that follow the key ``after`` (None: from the start), each with the key that the next page begins after and its token, a digest of scope and key."""
     page = (rows if after is None else rows.where(F.col(key) > F.lit(after))).orderBy(key).limit(size)
     last = F.max(key).over(Window.partitionBy())  # of a page, which is bounded
-    return page.withColumn("continuation", F.sha2(F.concat_ws("|", F.lit(scope), last.cast("string")), 256))
+    return page.withColumns({"next_after": last, "continuation": F.sha2(F.concat_ws("|", F.lit(scope), last.cast("string")), 256)})
+
+
+def resumed_page(rows: DataFrame, key: str, after, token: str, size: int, scope: str) -> DataFrame:
+    """The page behind ``after``, if the token is that of this scope and key; a token of another query or key is an error."""
+    if hashlib.sha256(f"{scope}|{after}".encode()).hexdigest() != token:
+        raise ValueError("the token doesn't continue this query")
+    return keyset_page(rows, key, after, size, scope)
 
 
 def fresh_only(rows: DataFrame, bound: DataFrame, upstream: DataFrame, key: str, version: str) -> DataFrame:

@@ -55,7 +55,7 @@ def band_charge(df: DataFrame, base: str, bands: list[tuple[str, str | None, str
 
 
 def fifo_matches(rows: DataFrame, group: str, order: list[str], is_buy: Column, quantity: str, ref: str) -> DataFrame:
-    """(group, buy_ref, sell_ref, matched): sells take the earliest buys of their group.
+    """(group, buy_ref, sell_ref, matched, rest): sells take the earliest buys of their group; rest is what a match leaves of its buy.
 
     Cumulative quantities turn lots into intervals of one line, and a match is an
     overlap of a buy's and a sell's interval. Both kinds of interval cut the line
@@ -75,8 +75,9 @@ def fifo_matches(rows: DataFrame, group: str, order: list[str], is_buy: Column,
         "from": F.coalesce(F.lead("upto").over(line), F.lit(0)),
         "buy_ref": F.last("buy", ignorenulls=True).over(met),
         "sell_ref": F.last("sell", ignorenulls=True).over(met),
+        "rest": F.last(F.when(F.col("buy").isNotNull(), F.col("upto")), ignorenulls=True).over(met) - F.col("upto"),
     })
-    return found.where("buy_ref IS NOT NULL AND sell_ref IS NOT NULL").select(group, "buy_ref", "sell_ref", (F.col("upto") - F.col("from")).alias("matched"))
+    return found.where("buy_ref IS NOT NULL AND sell_ref IS NOT NULL").select(group, "buy_ref", "sell_ref", (F.col("upto") - F.col("from")).alias("matched"), "rest")
 
 
 def basis_gaps(rows: DataFrame, group: str, is_buy: Column, quantity: str) -> DataFrame:

@@ -164,4 +164,6 @@ def fact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey, count(*) AS present, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, CAST(sum(CAST(l_quantity AS BIGINT)) * 100 / sum(sum(CAST(l_quantity AS BIGINT))) OVER (PARTITION BY l_orderkey % 100) AS DOUBLE) AS share FROM lineitem GROUP BY l_orderkey""")
 def group_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = Tables(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(F.count("*").alias("present"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
-    return sums.withColumn("share", F.col("quantity") * 100 / F.sum("quantity").over(Window.partitionBy(F.col("l_orderkey") % 100)))
+    own = sums.withColumn("k", F.col("l_orderkey") % 100)
+    totals = own.groupBy("k").agg(F.sum("quantity").alias("total"))
+    return own.join(totals, "k").select("l_orderkey", "present", "quantity", (F.col("quantity") * 100 / F.col("total")).alias("share"))

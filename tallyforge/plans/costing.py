@@ -11,9 +11,9 @@ from .base import Tables, query
 
 _LOTS = "SELECT l_partkey, lot, d, q, side, cents FROM (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS lot, min(CAST(l_shipdate AS DATE)) AS d, CAST(max(l_quantity) AS BIGINT) AS q, min(l_returnflag) AS side, CAST(round(max(l_extendedprice) * 100) AS BIGINT) AS cents FROM lineitem WHERE l_returnflag IN ('N', 'R') GROUP BY 1, 2)"
 _MATCHES = f"""WITH r AS ({_LOTS}), c AS (SELECT *, sum(q) OVER (PARTITION BY l_partkey, side ORDER BY d, lot ROWS UNBOUNDED PRECEDING) AS hi FROM r),
-m AS (SELECT b.l_partkey, b.lot AS buy_ref, s.lot AS sell_ref, b.q, b.d, CAST(least(b.hi, s.hi) - greatest(b.hi - b.q, s.hi - s.q) AS BIGINT) AS matched, b.cents FROM c b JOIN c s ON b.l_partkey = s.l_partkey AND b.side = 'N' AND s.side = 'R' AND b.hi - b.q < s.hi AND s.hi - s.q < b.hi)"""
+m AS (SELECT b.l_partkey, b.lot AS buy_ref, s.lot AS sell_ref, b.q, b.d, CAST(least(b.hi, s.hi) - greatest(b.hi - b.q, s.hi - s.q) AS BIGINT) AS matched, CAST(least(b.hi, s.hi) - (b.hi - b.q) AS BIGINT) AS upto, b.cents FROM c b JOIN c s ON b.l_partkey = s.l_partkey AND b.side = 'N' AND s.side = 'R' AND b.hi - b.q < s.hi AND s.hi - s.q < b.hi)"""
 _DOUBT = """t AS (SELECT l_partkey, buy_ref, sum(matched) AS taken FROM m GROUP BY ALL),
-g AS (SELECT r.l_partkey, d, count(DISTINCT round(CAST(cents AS DECIMAL(38,0)) * 1000 / q)) AS units, sum(q) AS bought, coalesce(sum(taken), 0) AS taken FROM r LEFT JOIN t ON r.l_partkey = t.l_partkey AND lot = buy_ref WHERE side = 'N' GROUP BY 1, 2)"""
+g AS (SELECT r.l_partkey, d, count(DISTINCT (cents // gcd(cents, q)) || '/' || (q // gcd(cents, q))) AS units, sum(q) AS bought, coalesce(sum(taken), 0) AS taken FROM r LEFT JOIN t ON r.l_partkey = t.l_partkey AND lot = buy_ref WHERE side = 'N' GROUP BY 1, 2)"""
 
 
 def _lots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def _is_buy():
     return F.col("side") == "N"
 
 
-@query(f"""{_MATCHES}, k AS (SELECT l_partkey, sell_ref, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(CAST(matched AS HUGEINT) * cents // q) AS BIGINT) AS cost, count(*) AS lots FROM m GROUP BY ALL)
+@query(f"""{_MATCHES}, k AS (SELECT l_partkey, sell_ref, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(CAST(upto AS HUGEINT) * cents // q - CAST(upto - matched AS HUGEINT) * cents // q) AS BIGINT) AS cost, count(*) AS lots FROM m GROUP BY ALL)
 SELECT r.l_partkey, r.lot AS sell_ref, coalesce(matched, 0) AS matched, cost, coalesce(lots, 0) AS lots, CASE WHEN matched = q THEN 'covered' WHEN matched > 0 THEN 'partial' ELSE 'uncovered' END AS status FROM r LEFT JOIN k ON r.l_partkey = k.l_partkey AND r.lot = k.sell_ref WHERE side = 'R'""")
 def fifo_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each sell cost: shares of the lots it takes, by quantity."""

@@ -49,7 +49,7 @@ SELECT b.l_partkey, b.lot AS buy_ref, s.lot AS sell_ref, CAST(least(b.hi, s.hi)
 def fifo_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lots first in, first out: flag N buys, flag R sells, by part."""
     lots = _lots(spark, sf_dir)
-    found = S.fifo_matches(lots, "l_partkey", ["d"], F.col("side") == "N", "q", "lot")
+    found = S.fifo_matches(lots, "l_partkey", ["d"], F.col("side") == "N", "q", "lot").drop("rest")
     return found.withColumn("matched", F.col("matched").cast("long"))
 
 

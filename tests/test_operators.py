@@ -8,8 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import literals as L
+from tallyforge.functions import values as V
 from tallyforge.operators import aggregates as A
 from tallyforge.operators import joins as J
+from tallyforge.operators import lots as P
+from tallyforge.operators import pages
 from tallyforge.operators import selection as S
 from tallyforge.operators import sequences as Q
 from tallyforge.sources import containers, parsers, store, transcripts
@@ -104,6 +107,46 @@ def test_paging_and_filters(spark):
     assert S.scoped(df, id=[1, 2, 300]).count() == 2
 
 
+def test_costs_of_a_used_up_lot_add_up(spark):
+    """A lot of seven for 100 cents goes to sells of two, two and three; another one of unit cost 100/7 but for a hair bought the same day."""
+    lots = [("g", "b1", 1, "B", 7, 100), ("g", "s1", 2, "S", 2, 0), ("g", "s2", 3, "S", 2, 0), ("g", "s3", 4, "S", 3, 0)]
+    frame = lambda data: spark.createDataFrame(data, "g string, ref string, day int, side string, q long, cents long")
+    found = P.priced_matches(frame(lots), "g", ["day"], F.col("side") == "B", "q", "ref", "cents").collect()
+    assert {r["sell_ref"]: r["cost"] for r in found} == {"s1": 28, "s2": 29, "s3": 43}
+    near = [("h", "b1", 1, "B", 7 * 10**9, 10**11), ("h", "b2", 1, "B", 7 * 10**9, 10**11 + 1), ("h", "s1", 2, "S", 5, 0), ("i", "b1", 1, "B", 7, 100), ("i", "b2", 1, "B", 14, 200), ("i", "s1", 2, "S", 5, 0)]
+    assert [r["g"] for r in P.ambiguous_days(frame(near), "g", "day", F.col("side") == "B", "q", "ref", "cents").collect()] == ["h"]
+
+
+def test_sequences_of_many_and_no_tokens(spark):
+    rng = random.Random(5)
+    pairs = [([rng.choice("abcd") for _ in range(rng.randrange(30))], [rng.choice("abce") for _ in range(rng.randrange(30))]) for _ in range(40)] + [(["x", "y"], None), ([], [])]
+    many = [f"t{i}" for i in range(1500)]
+    pairs.append((many, many[700:] + many[:700]))
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    table = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
+    found = table.select("i", V.common_length(F.col("a"), F.col("b")).alias("n"), V.sequence_distance(F.col("a"), F.col("b")).alias("d")).orderBy("i").collect()
+    assert [r["n"] for r in found] == [None if b is None else plain(a, b) for a, b in pairs]
+    assert found[41]["d"] == 0 and found[40]["d"] is None and found[42]["d"] == 1400
+
+
+def test_pages_resume_by_their_token(spark):
+    table = spark.range(10)
+    first = pages.keyset_page(table, "id", None, 4, "q").collect()
+    second = pages.resumed_page(table, "id", first[0]["next_after"], first[0]["continuation"], 4, "q").collect()
+    assert [r["id"] for r in first] + [r["id"] for r in second] == list(range(8))
+    for after, scope in ((4, "q"), (3, "other")):
+        with pytest.raises(ValueError, match="token"):
+            pages.resumed_page(table, "id", after, first[0]["continuation"], 4, scope)
+
+
 def test_csv_rules(spark):
     wide = ";".join(f"c{i}" for i in range(parsers.MOST_COLUMNS + 1)).encode()
     cases = {
