@@ -38,6 +38,18 @@ def role_value(role: Column, x: Column, convention: str = "plain") -> Column:
     )
 
 
+def role_rejection(role: Column, x: Column, convention: str = "plain") -> Column:
+    """Why a literal is no value of its role; null where it is one. missing and blank come before what the role asks for."""
+    bare = F.trim(x)
+    dated = F.substring(bare, 1, 10).rlike(r"^(\d{2}\.\d{2}\.\d{4}|\d{4}-\d{2}-\d{2})$")
+    return (
+        F.when(x.isNull(), "missing").when(bare == "", "blank")
+        .when((role == "date") & as_date(x).isNull(), F.when(dated, "no_such_day").otherwise("not_a_date"))
+        .when(role.isin("amount", "quantity") & as_decimal(x, convention).isNull(), F.when(bare.rlike(r"^[-+]?[0-9][0-9., ]*$"), "grouping").otherwise("not_a_number"))
+        .when((role == "currency") & ~F.upper(bare).rlike("^[A-Z]{3}$"), "not_a_code")
+    )
+
+
 def reproduced(kind: Column, literal: Column) -> Column:
     """The value that a mechanical rule gives for a literal, or null where the rule doesn't apply to it."""
     bare = F.trim(literal)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregation, archives, assembly, costing, joining, normalizing, routing, selection, sequencing, storing, structure, surface
+from . import aggregation, archives, assembly, costing, joining, normalizing, persisting, routing, selection, sequencing, storing, structure, surface
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregation", "archives", "assembly", "costing", "joining", "normalizing", "routing", "selection", "sequencing", "storing", "structure", "surface"]
+__all__ = ["ORACLES", "QUERIES", "aggregation", "archives", "assembly", "costing", "joining", "normalizing", "persisting", "routing", "selection", "sequencing", "storing", "structure", "surface"]
