@@ -123,48 +123,86 @@ def greedy_bins(df: DataFrame, group: str, order: str, size: str, budget: int) -
     return df.select(group, order, size).groupBy(group).applyInPandas(fold, f"{group} {kind[group]}, {order} {kind[order]}, bin int")
 
 
+def _folded(df: DataFrame, group: str, value: str, tolerance: float, label: str, fold) -> DataFrame:
+    """``df`` (without rows whose value is null) with the label that ``fold`` gives to each value of a group.
+
+    fold: ascending distinct values and their counts to labels from 0. Equal values get one label, and none is shared across a gap wider than the
+    tolerance. So values are counted first, a group is cut at such gaps, and the labels of a cut begin after those of the cuts before it:
+    a fold has the distinct values of one cut, however many rows there are.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(group).orderBy(value)
+    gap = F.when(F.col(value) - F.lag(value).over(w) > tolerance, 1).otherwise(0)
+    cut = counts.withColumn("__gap", gap).withColumn("__cut", F.sum("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap")
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values(value)
+        labels = fold(own[value].tolist(), own["__n"].tolist())
+        return own[[group, value, "__cut"]].assign(__label=labels, __labels=max(labels) + 1)
+
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+    found = cut.groupBy(group, "__cut").applyInPandas(each, f"{group} {kind[group]}, {value} {kind[value]}, __cut long, __label int, __labels int")
+    before = Window.partitionBy(group).orderBy("__cut").rangeBetween(Window.unboundedPreceding, -1)
+    of_cut = F.when(F.row_number().over(Window.partitionBy(group, "__cut").orderBy(value)) == 1, F.col("__labels")).otherwise(0)
+    placed = found.withColumn("__of_cut", of_cut).withColumn(label, (F.col("__label") + F.coalesce(F.sum("__of_cut").over(before), F.lit(0))).cast("int"))
+    same = F.col(f"l.{group}").eqNullSafe(F.col(f"r.{group}")) & (F.col(f"l.{value}") == F.col(f"r.{value}"))
+    return df.alias("l").join(placed.select(group, value, label).alias("r"), same).select("l.*", f"r.{label}")
+
+
 def running_mean_clusters(df: DataFrame, group: str, value: str, tolerance: float) -> DataFrame:
     """(group, value, cluster): values in ascending order join the first cluster whose running mean is within the tolerance."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(values: list[float], counts: list[int]) -> list[int]:
         means: list[list[float]] = []
         out = []
-        values = sorted(pdf[value].dropna().tolist())
-        for x in values:
+        for x, m in zip(values, counts, strict=True):
             for i, (total, n) in enumerate(means):
-                if abs(x - total / n) <= tolerance:
-                    means[i] = [total + x, n + 1]
+                if abs(x - total / n) <= tolerance:  # the mean moves towards x, so all of its copies join
+                    means[i] = [total + m * x, n + m]
                     out.append(i)
                     break
             else:
-                means.append([x, 1])
+                means.append([m * x, m])
                 out.append(len(means) - 1)
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(values), value: values, "cluster": out})
+        return out
+
+    return _folded(df.select(group, value), group, value, tolerance, "cluster", fold)
 
-    kind = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(group, value).groupBy(group).applyInPandas(fold, f"{group} {kind[group]}, {value} {kind[value]}, cluster int")
+
+class _Line:
+    """Ascending tops of a line and their median, whose place only moves on."""
+
+    def __init__(self):
+        self.tops: list[float] = []
+        self.ends: list[int] = []
+        self.at = 0
+
+    def add(self, x: float, m: int) -> None:
+        self.tops.append(x)
+        self.ends.append((self.ends[-1] if self.ends else 0) + m)
+        while self.ends[self.at] <= self.ends[-1] // 2:
+            self.at += 1
+
+    @property
+    def median(self) -> float:
+        return self.tops[self.at]
 
 
 def median_lines(df: DataFrame, group: str, top: str, ordinal: str, tolerance: float) -> DataFrame:
     """(group, ordinal, line): words from top to bottom join the newest line whose median top is within the tolerance."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([top, ordinal], kind="stable")
-        lines: list[list[float]] = []
+    def fold(values: list[float], counts: list[int]) -> list[int]:
+        lines: list[_Line] = []
         out = []
-        for x in pdf[top].tolist():
-            for i in range(len(lines) - 1, -1, -1):
-                if abs(x - lines[i][len(lines[i]) // 2]) <= tolerance:  # tops ascend, so a line is in order
-                    lines[i].append(x)
-                    out.append(i)
-                    break
-            else:
-                lines.append([x])
-                out.append(len(lines) - 1)
-        return pdf[[group, ordinal]].assign(line=out)
-
-    kind = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(group, top, ordinal).groupBy(group).applyInPandas(fold, f"{group} {kind[group]}, {ordinal} {kind[ordinal]}, line int")
+        for x, m in zip(values, counts, strict=True):
+            i = next((i for i in range(len(lines) - 1, -1, -1) if abs(x - lines[i].median) <= tolerance), len(lines))
+            if i == len(lines):
+                lines.append(_Line())
+            lines[i].add(x, m)  # the median moves towards x, so all of its copies join
+            out.append(i)
+        return out
+
+    return _folded(df.select(group, ordinal, top), group, top, tolerance, "line", fold).select(group, ordinal, "line")
 
 
 def gap_blocks(df: DataFrame, group: str, top: str, bottom: str, least_gap: float = 12.0, share: float = 1.8) -> DataFrame:

@@ -236,3 +236,35 @@ def test_stream_equals_batch(spark, tmp_path):
     running.stop()
     key = ["begin", "event_type", "n", "total"]
     assert rows(spark.table("counts"), *key) == rows(stream.windowed_counts(events, "1 day"), *key)
+
+
+def plain_clusters(values, tolerance):
+    means, out = [], []
+    for x in sorted(values):
+        i = next((i for i, m in enumerate(means) if abs(x - sum(m) / len(m)) <= tolerance), len(means))
+        means += [[]] if i == len(means) else []
+        means[i].append(x)
+        out.append((x, i))
+    return out
+
+
+def plain_lines(words, tolerance):
+    lines, out = [], []
+    for x, ordinal in sorted(words):
+        i = next((i for i in range(len(lines) - 1, -1, -1) if abs(x - lines[i][len(lines[i]) // 2]) <= tolerance), len(lines))
+        lines += [[]] if i == len(lines) else []
+        lines[i].append(x)
+        out.append((ordinal, i))
+    return out
+
+
+def test_clusters_and_lines_equal_plain_folds(spark):
+    rng = random.Random(8)
+    words = [(g, i, float(rng.choice([rng.randrange(12), rng.randrange(90), 500 + rng.randrange(9)]))) for g in "abc" for i in range(150)]
+    table = spark.createDataFrame([*words, ("a", 900, None), ("d", 901, 4.0)], "g string, i int, x double")
+    clusters, lines = Q.running_mean_clusters(table, "g", "x", 2.5).collect(), Q.median_lines(table, "g", "x", "i", 2.5).collect()
+    for g in "abc":
+        own = [(x, i) for k, i, x in words if k == g]
+        assert sorted((r["x"], r["cluster"]) for r in clusters if r["g"] == g) == sorted(plain_clusters([x for x, _ in own], 2.5))
+        assert sorted((r["i"], r["line"]) for r in lines if r["g"] == g) == sorted(plain_lines(own, 2.5))
+    assert [(r["x"], r["cluster"]) for r in clusters if r["g"] == "d"] == [(4.0, 0)] and len(clusters) == len(lines) == 451
