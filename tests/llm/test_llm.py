@@ -407,7 +407,7 @@ def test_quick_pattern_equals_the_rank_files_own():
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     wanted, found = con.sql(oracles.oracle_sql()[name]), queries.queries()[name](spark, DATA)
     assert sorted(map(str, (tuple(r) for r in found.select(wanted.columns).collect()))) == sorted(map(str, wanted.fetchall()))
