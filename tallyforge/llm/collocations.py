@@ -12,7 +12,7 @@
    sorted by their paths, in compressed blocks, one a prefix range. The ranges lie
    between paths drawn from a sample of the texts, which only balances them: any path
    has its range, and each node is in one. There are RANGES_A_PARTITION a shuffle
-   partition, so more partitions mean smaller ranges.
+   partition, so more partitions mean smaller ranges, and MOST_RANGES at most.
 3. ``frequent``: the sorted blocks of a range meet in a task and are merged;
    equal nodes are added up, and a walk over the merged trie gives each node the
    counts on its path, which are the left parts. Ancestors before the range's start are
@@ -49,7 +49,7 @@ PIECE_BYTES = 1 << 20
 LEAST_BITS, MOST_BITS, SLICE_BITS = 18, 29, 18
 #: Bytes a word, at least about, from which the number of counters follows.
 WORD_BYTES = 6
-RANGES_A_PARTITION, SAMPLE_TEXTS_A_RANGE, SAMPLE_A_RANGE = 4, 64, 32
+RANGES_A_PARTITION, MOST_RANGES, SAMPLE_TEXTS_A_RANGE, SAMPLE_A_RANGE = 4, 1 << 15, 64, 32
 NODES = "lang string, words array<string>, f long"
 
 _BREAK = b"\xff"
@@ -361,7 +361,7 @@ def frequent(docs: DataFrame, least: int, lang_col: str = "lang", text_col: str
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     found = pair_filter(texts, least, shard_words)
     parts = shuffle_partitions(spark)
-    splitters = _splitters(texts, Shared(spark, found), RANGES_A_PARTITION * parts, shard_words)
+    splitters = _splitters(texts, Shared(spark, found), min(RANGES_A_PARTITION * parts, MOST_RANGES), shard_words)
     blocks = texts.mapInPandas(_tries(shard_words, Shared(spark, (*found, splitters))), "range int, body binary")
     runs = blocks.repartition(parts, "range").sortWithinPartitions("range")
     return stored(runs.mapInPandas(_merge(least), f"{NODES}, lefts array<long>"), "frequent")
