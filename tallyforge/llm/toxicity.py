@@ -44,7 +44,9 @@ FIT_ROWS = 20_000
 PRIOR_SHARE = 0.1
 LEAST_TEXTS = 5
 PREFIXES = range(3, 8)
-CACHED_WORDS = 500_000
+CACHED_WORDS = 100_000
+#: A task hands on its counts when it has met so many tokens.
+COUNTED_TOKENS = 50_000
 DRIFT = 0.05
 MOST_EXPECTED = 0.05
 K = 0.1
@@ -193,16 +195,23 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield from zip(pdf["text"].tolist(), pdf["label"].tolist(), strict=True)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Texts of each class that hold a token, for one partition of the sample; under no token: texts, and words as ``n``."""
+        """Texts of each class that hold a token, for parts of the sample; under no token: texts, and words as ``n``."""
         by_class, texts, words = (Counter(), Counter()), [0, 0], 0
+
+        def counted(totals: list[int]) -> pd.DataFrame:
+            tokens = list(by_class[0] | by_class[1])
+            clean, toxic = ([by_class[i][t] for t in tokens] for i in (0, 1))
+            return pd.DataFrame({"token": pd.Series([*tokens, None], dtype=object), "clean": [*clean, totals[0]], "toxic": [*toxic, totals[1]], "n": [*([0] * len(tokens)), totals[2]]})
+
         for text, label in labelled(batches):
             own = words_of(text)
             by_class[label].update({t for w in set(own) for t in tokens_of(w)})
             texts[label] += 1
             words += len(own) * (1 - label)
-        tokens = list(by_class[0] | by_class[1])
-        clean, toxic = ([by_class[i][t] for t in tokens] for i in (0, 1))
-        yield pd.DataFrame({"token": pd.Series([*tokens, None], dtype=object), "clean": [*clean, texts[0]], "toxic": [*toxic, texts[1]], "n": [*([0] * len(tokens)), words]})
+            if len(by_class[0]) + len(by_class[1]) > COUNTED_TOKENS:
+                yield counted([0, 0, 0])
+                by_class[0].clear(), by_class[1].clear()
+        yield counted([*texts, words])
 
     sums = rows.mapInPandas(count, "token string, clean long, toxic long, n long").groupBy("token").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "n")))
     # tokens of several toxic texts of the bounded sample, and the row of totals
