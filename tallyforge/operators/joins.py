@@ -70,6 +70,29 @@ def box_iou(a: list[Column], b: list[Column]) -> Column:
     return F.when(union > 0, common / union).otherwise(0.0)
 
 
+def touching_totals(boxes: DataFrame, group: str, key: str, sides: list[str], width: float) -> DataFrame:
+    """(group, pairs, best): unordered pairs of boxes (sides: x0, top, x1, bottom) of a group whose x intervals overlap and whose keys
+    differ, and the largest intersection over union among them.
+
+    Equal boxes are one counted box before any join, so only different boxes meet, and copies cost nothing. Pairs of rows
+    that share a key are counted the same way within the keys that several rows have, and taken off. Null keys pair with nothing.
+    """
+    low, high = sides[0], sides[2]
+    rows = boxes.where(F.col(key).isNotNull() & F.col(group).isNotNull()).groupBy(group, key, *sides).agg(F.count("*").alias("n"))
+    box = lambda s: F.struct(*(f"{s}_{c}" for c in sides))
+    pairs = F.when(box("l").eqNullSafe(box("r")), (F.col("l_n") * (F.col("l_n") - 1) / 2).cast("long")).otherwise(F.col("l_n") * F.col("r_n"))
+    meeting = lambda counted, by: boxes_touching(counted, counted, by, low, high, width).where(box("l") <= box("r")).withColumn("pairs", pairs)
+    counted = rows.groupBy(group, *sides).agg(F.sum("n").alias("n"), F.min(key).alias("least"), F.max(key).alias("most"))
+    differ = F.least("l_least", "r_least") < F.greatest("l_most", "r_most")
+    best = F.max(F.when(differ, box_iou([F.col(f"l_{c}") for c in sides], [F.col(f"r_{c}") for c in sides])))
+    met = meeting(counted, group).groupBy(F.col(f"l_{group}").alias(group)).agg(F.sum("pairs").alias("pairs"), best.alias("best"))
+    repeated = rows.groupBy(group, key).agg(F.sum("n").alias("rows")).where("rows > 1").drop("rows")
+    own = rows.join(repeated, [group, key]).select(F.struct(group, key).alias("of"), *sides, "n")
+    alike = meeting(own, "of").groupBy(F.col(f"l_of.{group}").alias(group)).agg(F.sum("pairs").alias("alike"))
+    left = F.col("pairs") - F.coalesce("alike", F.lit(0))
+    return met.join(alike, group, "left").select(group, left.alias("pairs"), "best").where("pairs > 0")
+
+
 def adjacent(df: DataFrame, group: str, ordinal: str, accept: Column) -> DataFrame:
     """(group, left, right) for rows and the rows at the next ordinal that ``accept`` (on l and r structs) takes, where the
     choice is unique on both sides."""

@@ -79,13 +79,13 @@ SELECT a.p_brand, count(*) AS pairs, round(max(CASE WHEN w * h > 0 THEN w * h /
 SELECT a.p_brand, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) AS w, greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS h, (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (b.x1 - b.x0) * (b.y1 - b.y0) AS bb
 FROM b a JOIN b b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND a.x0 <= b.x1 AND b.x0 <= a.x1) a GROUP BY a.p_brand""")
 def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of a page that touch, with their intersection over union."""
+    """Boxes of a page that touch, with their intersection over union; equal boxes are counted, not paired."""
+    page = F.when(F.col("p_brand").isNotNull() & F.col("p_type").isNotNull(), F.struct("p_brand", "p_type"))
     boxes = Tables(spark, sf_dir).part.select(
-        F.concat_ws("/", "p_brand", "p_type").alias("page"), "p_brand", "p_partkey", F.col("p_size").cast("double").alias("x0"), (F.col("p_size") + 5.0).alias("x1"), F.lit(0.0).alias("y0"), (10.0 + F.col("p_partkey") % 5).alias("y1")
+        page.alias("page"), "p_partkey", F.col("p_size").cast("double").alias("x0"), (F.col("p_size") + 5.0).alias("x1"), F.lit(0.0).alias("y0"), (10.0 + F.col("p_partkey") % 5).alias("y1")
     )
-    met = J.boxes_touching(boxes, boxes, "page", "x0", "x1", 8.0).where("l_p_partkey < r_p_partkey")
-    side = lambda s: [F.col(f"{s}_{c}") for c in ("x0", "y0", "x1", "y1")]
-    return met.groupBy(F.col("l_p_brand").alias("p_brand")).agg(F.count("*").alias("pairs"), F.round(F.max(J.box_iou(side("l"), side("r"))), 6).alias("best"))
+    found = J.touching_totals(boxes, "page", "p_partkey", ["x0", "y0", "x1", "y1"], 8.0)
+    return found.groupBy("page.p_brand").agg(F.sum("pairs").alias("pairs"), F.round(F.max("best"), 6).alias("best"))
 
 
 @query("""SELECT event_id, o_orderkey FROM events JOIN orders ON user_id = o_custkey AND value * 1000 BETWEEN o_totalprice - 2000 AND o_totalprice + 2000""")

@@ -268,3 +268,27 @@ def test_clusters_and_lines_equal_plain_folds(spark):
         assert sorted((r["x"], r["cluster"]) for r in clusters if r["g"] == g) == sorted(plain_clusters([x for x, _ in own], 2.5))
         assert sorted((r["i"], r["line"]) for r in lines if r["g"] == g) == sorted(plain_lines(own, 2.5))
     assert [(r["x"], r["cluster"]) for r in clusters if r["g"] == "d"] == [(4.0, 0)] and len(clusters) == len(lines) == 451
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_touching_totals_against_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    data = [(rng.choice("ab"), rng.randrange(40), float(x := rng.randrange(12)), 0.0, x + rng.choice([0.0, 3.0]), 1.0 + rng.randrange(2)) for _ in range(60)] + [("a", None, 1.0, 0.0, 4.0, 1.0), (None, 1, 1.0, 0.0, 4.0, 1.0)]
+    wanted = {}
+    for i, a in enumerate(data[:60]):
+        for b in data[:i]:
+            if a[0] == b[0] and a[1] != b[1] and a[2] <= b[4] and b[2] <= a[4]:
+                common = max(min(a[4], b[4]) - max(a[2], b[2]), 0) * max(min(a[5], b[5]) - max(a[3], b[3]), 0)
+                area = sum((x[4] - x[2]) * (x[5] - x[3]) for x in (a, b))
+                n, best = wanted.get(a[0], (0, 0.0))
+                wanted[a[0]] = n + 1, max(best, common / (area - common) if common else 0.0)
+    df = spark.createDataFrame(data, "g string, k int, x0 double, y0 double, x1 double, y1 double")
+    assert rows(J.touching_totals(df, "g", "k", ["x0", "y0", "x1", "y1"], 7), "g", "pairs", "best") == sorted((g, *v) for g, v in wanted.items())
+
+
+def test_iou_pairs_of_a_crowded_page(spark, tmp_path):
+    from tallyforge.plans.joining import iou_pairs
+
+    n = 200_000  # 2 * 10^10 pairs, which can't be listed
+    spark.range(n).selectExpr("id * 5 p_partkey", "'b' p_brand", "'t' p_type", "7 p_size").write.parquet(str(tmp_path / "part.parquet"))
+    assert [tuple(r) for r in iou_pairs(spark, str(tmp_path)).collect()] == [("b", n * (n - 1) // 2, 1.0)]
