@@ -23,8 +23,11 @@ the sparseness.
    suffixes are in one run of the first order (common bytes up to the window's
    end) and one of the second (to its beginning): bytes decide, not hashes.
 4. All suffixes of a gram go to one bucket, but for grams that fill MOST_BUCKETS
-   or more of them: those are spread over tasks and compared across buckets, by
-   an aggregate that counts every window's 128-bit digest.
+   or more of them (license lines and the like): those are compared across buckets
+   by 128-bit digests. Windows are taken STRIDE neighbouring offsets at a time: only
+   what all windows of such a block share (its core) can bring two suffixes
+   together, and where all that they cover (its hull) recurs, all of them do. Windows
+   themselves are listed for one suffix of each hull, and only where other hulls have its core.
 5. Intervals are joined per distinct text. Equal texts are one text throughout,
    identified by two 64-bit hashes, and go whole if they have the length.
 
@@ -56,7 +59,8 @@ POSITION_BITS = 22
 FILTER_BITS = 26
 SAMPLE_ROWS = 100_000
 BUCKET_ROWS = 8_192
-MOST_BUCKETS = 8
+MOST_BUCKETS = 2
+STRIDE = 16
 SALTS = 16
 MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -78,6 +82,11 @@ class Shape:
         shift = (length - self.window) // 2
         return range(shift, shift + self.window - self.gram + 1)
 
+    @property
+    def blocks(self) -> list[tuple[int, int, int]]:
+        """(length, first offset, last offset) of up to STRIDE neighbouring windows, by the number of the block."""
+        return [(n, o, min(o + STRIDE - 1, self.offsets(n)[-1])) for n in self.lengths for o in self.offsets(n)[::STRIDE]]
+
     @property
     def left(self) -> int:
         """Bytes before an anchor that belong to its context."""
@@ -269,24 +278,63 @@ def compare_bucket(shape: Shape):
     return compare
 
 
-def explode_windows(shape: Shape):
-    """Suffixes on a boundary to (k1, k2, pos, length, offset, w1, w2) for every window."""
+def explode_blocks(shape: Shape):
+    """Suffixes to (k1, k2, pos, block, least, most, c1, c2, h1, h2) for every block in which they have windows: the offsets of the first and last, and the digests of core and hull."""
+    digests = lambda found: np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_128_digest
         for pdf in batches:
             left = pdf["left"].to_numpy(np.int64)
-            size = np.fromiter(map(len, pdf["bytes"]), np.int64, len(pdf))
+            right = np.fromiter(map(len, pdf["bytes"]), np.int64, len(pdf)) - left
             data = pdf["bytes"].tolist()
-            for length in shape.lengths:
-                for offset in shape.offsets(length):
-                    at = np.flatnonzero((left >= offset) & (size - left >= length - offset))
-                    own = np.frombuffer(b"".join(digest(data[i][left[i] - offset : left[i] - offset + length]) for i in at.tolist()), "<i8").reshape(-1, 2)
-                    yield pdf.iloc[at][["k1", "k2", "pos"]].assign(length=np.int32(length), offset=np.int32(offset), w1=own[:, 0], w2=own[:, 1])
+            for number, (length, first, last) in enumerate(shape.blocks):
+                least, most = np.maximum(first, length - right), np.minimum(last, left)
+                at = np.flatnonzero(least <= most)
+                own = [(data[i], n) for i, n in zip(at.tolist(), left[at].tolist(), strict=True)]
+                core = digests(digest(x[n - first : n + length - last]) for x, n in own)
+                # the bytes and how many of them come before the anchor
+                hull = digests(digest(x[max(n - last, 0) : n + length - first], min(n, last)) for x, n in own)
+                yield pdf.iloc[at][["k1", "k2", "pos"]].assign(block=np.int32(number), least=least[at].astype(np.int32), most=most[at].astype(np.int32), c1=core[:, 0], c2=core[:, 1], h1=hull[:, 0], h2=hull[:, 1])
+
+    return blocks
+
+
+def explode_windows(shape: Shape):
+    """Suffixes with a block to (k1, k2, pos, block, offset, w1, w2) for every window of the block."""
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = xxhash.xxh3_128_digest
+        for pdf in batches:
+            rows, found = [], []
+            for k1, k2, pos, left, data, number in zip(pdf["k1"], pdf["k2"], pdf["pos"], pdf["left"], pdf["bytes"], pdf["block"], strict=True):
+                length, first, last = shape.blocks[number]
+                for offset in range(max(first, length - len(data) + left), min(last, left) + 1):
+                    rows.append((k1, k2, pos, number, offset))
+                    found.append(digest(data[left - offset : left - offset + length]))
+            own = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+            yield pd.DataFrame(rows, columns=["k1", "k2", "pos", "block", "offset"]).assign(w1=own[:, 0], w2=own[:, 1])
 
     return windows
 
 
+def repeats_across(suffixes: DataFrame, shape: Shape) -> DataFrame:
+    """(k1, k2, length, begin, end) of what repeats around each anchor, for suffixes in any number of buckets."""
+    at, block = ["k1", "k2", "pos"], ["block", "c1", "c2"]
+    rows = stored(suffixes.mapInPandas(explode_blocks(shape), "k1 long, k2 long, pos int, block int, least int, most int, c1 long, c2 long, h1 long, h2 long"), "blocks")
+    hulls = stored(rows.groupBy(*block, "h1", "h2").agg(F.min(F.struct(*at)).alias("low"), F.max(F.struct(*at)).alias("high")), "hulls")
+    whole = rows.join(hulls.where("low <> high").select("block", "h1", "h2"), ["block", "h1", "h2"]).select(*at, "block", "least", "most")
+    open_cores = hulls.groupBy(*block).agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).where("a <> b").select(*block)
+    asked = hulls.join(open_cores, block).select("low.*", "block")
+    windows = stored(suffixes.join(asked, at).mapInPandas(explode_windows(shape), "k1 long, k2 long, pos int, block int, offset int, w1 long, w2 long"), "windows")
+    window = ["block", "offset", "w1", "w2"]
+    recurring = windows.groupBy(*window).agg(F.min(F.struct(*at)).alias("low"), F.max(F.struct(*at)).alias("high")).where("low <> high").select(*window)
+    found = whole.unionByName(windows.join(recurring, window).select(*at, "block", F.col("offset").alias("least"), F.col("offset").alias("most")))
+    length = F.get(F.array(*(F.lit(n) for n, _, _ in shape.blocks)), F.col("block"))
+    found = found.groupBy(*at, length.alias("length")).agg(F.max("most").alias("most"), F.min("least").alias("least"))
+    return found.select("k1", "k2", "length", (F.col("pos") - F.col("most")).alias("begin"), (F.col("pos") - F.col("least") + F.col("length")).alias("end"))
+
+
 def cut_suffixes(shape: Shape, splitters: np.ndarray | None, encode: Callable[[str], bytes]):
     """Texts with positions to suffixes with their bytes, bucket (0 without splitters) and whether their gram spreads over several buckets."""
 
@@ -362,12 +410,12 @@ def repeated_passages(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gra
     at = F.struct(*key, "pos")
     contexts = anchors.groupBy(*whose).agg(F.min(at).alias("low"), F.max(at).alias("high"))
     contexts = stored(contexts.select(*whose, "low", (F.col("low") != F.col("high")).alias("recurs")), "contexts")
-    whole = anchors.join(contexts.where("recurs").select(*whose), whose).groupBy(*key).agg(F.collect_set("pos").alias("whole"))
+    whole = stored(anchors.join(contexts.where("recurs").select(*whose), whose).groupBy(*key).agg(F.collect_set("pos").alias("whole")), "whole")
 
     # one row of every context of a gram that has several; a gram of very many contexts is dealt out
     several = contexts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     wanted = contexts.withColumn("salt", F.pmod("c1", F.lit(SALTS)).cast("int")).join(several, ["gram", "salt"]).select("low.*")
-    by_text = wanted.groupBy(*key).agg(F.collect_list("pos").alias("anchors"))
+    by_text = stored(wanted.groupBy(*key).agg(F.collect_list("pos").alias("anchors")), "wanted")
     concerned = groups.join(by_text, key, "left").join(whole, key, "left").where("anchors IS NOT NULL OR whole IS NOT NULL")
     concerned = concerned.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "first", "anchors", "whole")
     mine = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("id").eqNullSafe(F.col("first"))
@@ -381,11 +429,8 @@ def repeated_passages(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gra
     span = "k1 long, k2 long, length int, begin int, end int"
     found = suffixes.where("NOT boundary").groupBy("bucket").applyInPandas(compare_bucket(shape), span)
 
-    windows = suffixes.where("boundary").mapInPandas(explode_windows(shape), "k1 long, k2 long, pos int, length int, offset int, w1 long, w2 long")
-    window = ["w1", "w2", "length", "offset"]
-    recurring = windows.groupBy(*window).agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low <> high").select(*window)
-    across = windows.join(recurring, window).groupBy(*key, "pos", "length").agg(F.max("offset").alias("most"), F.min("offset").alias("least"))
-    found = found.unionByName(across.select(*key, "length", (F.col("pos") - F.col("most")).alias("begin"), (F.col("pos") - F.col("least") + F.col("length")).alias("end")))
+    across = stored(suffixes.where("boundary").drop("bucket", "boundary"), "across")
+    found = found.unionByName(repeats_across(across, shape))
     parts = found.groupBy(*key).agg(F.collect_list(F.struct("length", "begin", "end")).alias("spans"))
 
     context = lambda p: F.struct(F.lit(0).alias("length"), F.greatest(p - shape.left, F.lit(0)).alias("begin"), (F.least(p + shape.right, F.octet_length("text")) if code is None else p + shape.right).alias("end"))

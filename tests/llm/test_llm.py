@@ -368,6 +368,29 @@ def test_suffix_dedup_equals_brute_force(spark, bucket_rows, most_buckets, monke
     assert suffix_dedup.deduplicated(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_a_common_line_lists_few_windows(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(suffix_dedup, "MOST_BUCKETS", 1)
+    listed = {}
+
+    def counted(df, name, stored=suffix_dedup.stored):
+        out = stored(df, name)
+        listed[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", counted)
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, longer = text(200), text(500)
+    texts = [text(500) + line + text(500) for _ in range(40)] + [text(500) + longer + text(500) for _ in range(40)]
+    found = {r["doc_id"]: r for r in suffix_dedup.deduplicated(docs(spark, texts)).collect()}
+    starts = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    for i, t in enumerate(texts):
+        gone = {j for k in range(len(t) - 399) if starts[t[k : k + 400]] > 1 for j in range(k, k + 400)}
+        assert found[i]["n_removed"] == len(gone) and bool(gone) == (i >= 40)
+    assert listed["across"] > 200 and listed["windows"] < 60 * listed["across"]  # of 338 in a suffix's context
+
+
 # 8: byte-level BPE
 
 
