@@ -197,9 +197,18 @@ def source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN n = 1 THEN 'materialized' ELSE 'presence' END AS kept FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem)""")
 def annotation_atomicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations of one target are materialized; of several, only their presence is kept."""
-    n = F.count("*").over(Window.partitionBy("l_orderkey", "l_linenumber"))
-    rows = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_partkey").withColumn("kept", F.when(n == 1, "materialized").otherwise("presence"))
-    return rows.dropDuplicates()
+    target = ["l_orderkey", "l_linenumber"]
+    rows = Tables(spark, sf_dir).lineitem.select(*target, "l_partkey")
+    ends = F.array_distinct(F.array(F.min("l_partkey"), F.max("l_partkey")))
+    bare = F.count("*") > F.count("l_partkey")
+    counted = rows.groupBy(*target).agg(F.count("*").alias("n"), ends.alias("parts"), bare.alias("bare"))
+    # one or two annotations are their least and greatest; only targets of more are looked up again
+    many = (F.col("n") > 2) & (F.col("bare") | (F.size("parts") > 1))
+    few = F.when(F.col("bare") & (F.col("n") == 2), F.array_distinct(F.array_append("parts", F.lit(None).cast("long")))).otherwise(F.col("parts"))
+    found = counted.where(~many).select(*target, F.explode(few).alias("l_partkey"), F.when(F.col("n") == 1, "materialized").otherwise("presence").alias("kept"))
+    same = F.col("l.l_orderkey").eqNullSafe(F.col("r.l_orderkey")) & F.col("l.l_linenumber").eqNullSafe(F.col("r.l_linenumber"))
+    rest = rows.alias("l").join(counted.where(many).select(*target).alias("r"), same, "left_semi").dropDuplicates()
+    return found.unionByName(rest.withColumn("kept", F.lit("presence")))
 
 
 @query("""SELECT a.l_orderkey, a.l_linenumber, CAST(round(a.l_extendedprice * 100) AS BIGINT) AS cents, CASE b.l_returnflag WHEN 'A' THEN 'EUR' WHEN 'N' THEN 'RUB' ELSE 'USD' END AS currency FROM lineitem a JOIN (SELECT l_orderkey, l_linenumber, any_value(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1) b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1""")

@@ -292,3 +292,14 @@ def test_iou_pairs_of_a_crowded_page(spark, tmp_path):
     n = 200_000  # 2 * 10^10 pairs, which can't be listed
     spark.range(n).selectExpr("id * 5 p_partkey", "'b' p_brand", "'t' p_type", "7 p_size").write.parquet(str(tmp_path / "part.parquet"))
     assert [tuple(r) for r in iou_pairs(spark, str(tmp_path)).collect()] == [("b", n * (n - 1) // 2, 1.0)]
+
+
+def test_annotations_of_a_target_are_one_aggregate(spark, tmp_path):
+    from tallyforge.plans.surface import annotation_atomicity
+
+    data = [(1, 1, 5), (1, 2, 5), (1, 2, 5), (1, 3, 5), (1, 3, 6), (2, 1, 5), (2, 1, 6), (2, 1, 7), (2, 1, 7), (2, 2, None), (2, 3, None), (2, 3, 4), (3, 1, None), (3, 1, None), (3, 2, None), (3, 2, 1), (3, 2, 1), (None, 1, 1), (None, 1, 2), (None, 1, 3)]
+    spark.createDataFrame(data, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = annotation_atomicity(spark, str(tmp_path))
+    targets = [r[:2] for r in data]
+    assert {tuple(r) for r in found.collect()} == {(*r, "materialized" if targets.count(r[:2]) == 1 else "presence") for r in data}
+    assert found.count() == len(set(data)) and "Window" not in found._jdf.queryExecution().toString()
