@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,18 +88,24 @@ def latest(puts: DataFrame, key: str, order: list[str]) -> DataFrame:
 def chains(artifacts: DataFrame, edges: DataFrame, key: str, most_depth: int = 100) -> DataFrame:
     """(key, ancestor, depth): all that each artifact was made from, through edges (parent, child), at the least depth. Edges to artifacts that are gone lead nowhere.
 
-    Levels are written tables; a level is a join with the edges and an anti-join with what was met before, so cycles end. Deeper chains than ``most_depth`` are an error.
+    Levels are written tables, each written once; a level is a join with the edges and an anti-join with those before, so cycles end. Where
+    no artifact has two parents, only a cycle can meet a pair again; then levels are joins alone, and those that don't end within
+    ``most_depth`` are done again with anti-joins. Deeper chains than ``most_depth`` are an error.
     """
     there = artifacts.select(key)
     alive = saved(edges.join(there.withColumnRenamed(key, "child"), "child", "left_semi").join(there.withColumnRenamed(key, "parent"), "parent", "left_semi").select("parent", "child").distinct())
-    level = saved(alive.select(F.col("child").alias(key), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
-    met = level
-    for depth in range(2, most_depth + 2):
-        above = level.select(key, F.col("ancestor").alias("child")).join(alive, "child").select(key, F.col("parent").alias("ancestor")).distinct()
-        level = saved(above.join(met, [key, "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            return met
-        met = saved(met.unionByName(level))
+    first = alive.select(F.col("child").alias(key), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    one_parent = alive.groupBy("child").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    for alone in (True, False)[not one_parent :]:
+        levels = [first]
+        for depth in range(2, most_depth + 2):
+            above = levels[-1].select(key, F.col("ancestor").alias("child")).join(alive, "child").select(key, F.col("parent").alias("ancestor"))
+            if not alone:
+                above = above.distinct().join(reduce(DataFrame.unionByName, levels), [key, "ancestor"], "left_anti")
+            level = saved(above.withColumn("depth", F.lit(depth)))
+            if level.isEmpty():
+                return reduce(DataFrame.unionByName, levels)
+            levels.append(level)
     raise ValueError(f"a chain is longer than {most_depth}")
 
 

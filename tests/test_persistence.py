@@ -88,3 +88,25 @@ def test_office_files_round_trip(spark):
     assert rows(cells, "cell", "text", "is_formula") == [("A1", "a<b", False), ("A2", "a<b", False), ("B1", None, True), ("B2", "é", False)]
     texts = spark.createDataFrame([(1, ["# T & t", "", "body"])], "id int, lines array<string>")
     assert rows(parsers.read_as(office.written(texts, "id", "lines", office.document), "docx"), "ordinal", "style", "text") == [(0, "Heading1", "T & t"), (1, None, "body")]
+
+
+@pytest.mark.parametrize("edges, wanted", [
+    ([(1, 2), (2, 3), (3, 4), (9, 8)], {(2, 1, 1), (3, 2, 1), (3, 1, 2), (4, 3, 1), (4, 2, 2), (4, 1, 3)}),
+    ([(1, 2), (2, 3), (3, 1), (3, 4)], {(2, 1, 1), (3, 2, 1), (1, 3, 1), (4, 3, 1), (2, 3, 2), (3, 1, 2), (1, 2, 2), (4, 2, 2), (2, 2, 3), (3, 3, 3), (1, 1, 3), (4, 1, 3)}),
+    ([(1, 2), (1, 3), (2, 4), (3, 4), (1, 4)], {(2, 1, 1), (3, 1, 1), (4, 2, 1), (4, 3, 1), (4, 1, 1)}),
+])
+def test_chains_are_written_once(spark, monkeypatch, edges, wanted):
+    from tallyforge.operators import persistence
+
+    written = []
+
+    def counted(df, saved=persistence.saved):
+        written.append((out := saved(df)).count())
+        return out
+
+    monkeypatch.setattr(persistence, "saved", counted)
+    there = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 9)], "a long")
+    found = persistence.chains(there, spark.createDataFrame(edges, "parent long, child long"), "a", 6)
+    assert {tuple(r) for r in found.collect()} == wanted and found.count() == len(wanted)
+    if len(edges) == 4 and (9, 8) in edges:
+        assert sum(written) == 3 + 3  # the edges and the further levels
