@@ -71,6 +71,7 @@ def worked_off(roots: DataFrame, children: DataFrame, most_depth: int, most_size
     what lies deeper than ``most_depth`` is over_depth. Cycles end, as an item that was met isn't queued again. A level is a join of the last
     level's items and an anti-join with those met before; of several parents on a level the least counts. Levels are written tables.
     """
+    children = saved(children)  # every level reads it
     state = F.when(F.col("depth") > most_depth, "over_depth").when(F.col("size") > most_size, "blocked_size").otherwise("processed")
     level = roots.groupBy("item").agg(F.max("size").alias("size")).select("item", F.lit(None).cast(roots.schema["item"].dataType).alias("parent"), F.lit(0).alias("depth"), "size")
     levels = [saved(level.withColumn("status", state))]
