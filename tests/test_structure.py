@@ -178,3 +178,16 @@ def test_typed_facts_need_paths(spark):
     nodes = spark.createDataFrame([(1, 0, None, "<a>", "x")], "id int, start int, path string, tag string, text string")
     assert trees.typed_facts(nodes, "id", [("f", "/a", None, ".")]).count() == 0
     assert nodes.select(trees.attribute(F.lit("<a Href=\"x\" b='y'>"), "href")).first()[0] == "x"
+
+
+def test_edges_of_a_queue_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    chain = spark.createDataFrame([(i, i + 1, 1) for i in range(5)], "parent long, item long, size long").coalesce(1)
+    roots = spark.createDataFrame([(0, 1)], "item long, size long")
+    found = matching.worked_off(roots, chain.withColumn("size", F.udf(count, "long")("size")), 9, 5)
+    assert found.count() == 6 and seen.value == 5
