@@ -38,9 +38,10 @@ from .common import Shared, hash_sample, let
 from .vocabularies import LETTERS
 
 RUN_CHARS = 500_000
-REMEMBERED = 300_000
-COMMON = 65_536
-SAMPLE_ROWS = 16_384
+REMEMBERED = 200_000
+COMMON = 196_608
+SAMPLE_ROWS = 32_768
+TEXTS_AT_ONCE = 256
 WORDS_A_ROW = 2_048
 EDGE = 0xFFFF
 NONE = 0x1_0000
@@ -105,9 +106,8 @@ class RankTable:
     def slot(self, pair, shift):
         return (pair ^ shift) * self.SECOND >> 21 & (self.slots - 1)
 
-    def column(self, a: Column, b: Column, shift: Column, entry: Column) -> Column:
-        """The rank of a pair of ids (longs), or NONE. A slot that holds another pair leaves high bits when xored with this one."""
-        own = F.shiftleft(a, 16).bitwiseOR(b)
+    def column(self, own: Column, shift: Column, entry: Column) -> Column:
+        """The rank of a pair of ids (a long, the left one in the high bits), or NONE. A slot that holds another pair leaves high bits when xored with this one."""
         mask = lambda n: F.lit(n - 1).cast("long")
         bucket = F.shiftright(own * F.lit(self.FACTOR).cast("long"), 24).bitwiseAND(mask(self.buckets))
         at = F.shiftright(own.bitwiseXOR(F.get(shift, bucket)) * F.lit(self.SECOND).cast("long"), 21).bitwiseAND(mask(self.slots))
@@ -140,14 +140,15 @@ def word_ids(word: Column, table: RankTable, single: Column, double: Column, shi
     of a last byte and of a byte before another.
     """
     low, edge = F.lit(0xFFFF).cast("long"), F.lit(EDGE).cast("long")
-    element = lambda a, b: F.shiftleft(table.column(a, b, shift, entry), 16).bitwiseOR(a)
+    element = lambda own: F.shiftleft(table.column(own, shift, entry), 16).bitwiseOR(F.shiftright(own, 16))
     idle = F.lit(NONE << 16).cast("long")
 
     def merge(state: Column, least: Column) -> Column:
         def at_place(at: Column) -> Column:
             new = F.shiftright(least, 16)
             before, after = (F.get(state, at + i).bitwiseAND(low) for i in (-2, 1))
-            return F.concat(F.slice(state, F.lit(1), at - 2), F.array(element(before, new), element(new, after)), F.slice(state, at + 2, F.size(state)))
+            pairs = F.array(F.shiftleft(before, 16).bitwiseOR(new), F.shiftleft(new, 16).bitwiseOR(after))
+            return F.concat(F.slice(state, F.lit(1), at - 2), F.transform(pairs, element), F.slice(state, at + 2, F.size(state)))
 
         return let(F.array_position(state, least).cast("int"), at_place)
 
@@ -213,56 +214,72 @@ def runs_of_words(pattern: str, common):
     """Texts to runs: ids of the documents, the word numbers of each, the task's new words as bytes, and whether the numbers begin again."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, often = splitter(pattern), common.value[0]
-        known, restart = Numbers(zip(often, range(len(often)), strict=True)), True
+        words_of, often = splitter(pattern), common.value
+        begun = lambda: Numbers(zip(often.to_pylist(), range(len(often)), strict=True))
+        whole = lambda x: pa.ListArray.from_arrays(np.array([0, len(x)], np.int32), x)
+        known, restart = begun(), True
         for batch in batches:
             numbers, size, first, begin = [], 0, len(known), 0
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                numbers.append(np.array(list(map(known.__getitem__, words_of(text or ""))), "<u4").tobytes())
-                size += len(text or "")
-                if size >= RUN_CHARS or i == batch.num_rows - 1:
-                    words = word_bytes(list(islice(known, first, None)))
-                    whole = lambda x: pa.ListArray.from_arrays(np.array([0, len(x)], np.int32), x)
-                    columns = [whole(batch.column("id").slice(begin, len(numbers))), whole(pa.array(numbers, pa.binary())), whole(words), pa.array([restart])]
-                    yield pa.RecordBatch.from_arrays(columns, ["ids", "numbers", "words", "restart"])
-                    numbers, size, begin, restart = [], 0, i + 1, False
-                    if len(known) > len(often) + REMEMBERED:
-                        known, restart = Numbers(zip(often, range(len(often)), strict=True)), True
-                    first = len(known)
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                for i, text in enumerate(batch.column("text").slice(at, TEXTS_AT_ONCE).to_pylist(), at):
+                    numbers.append(np.array(list(map(known.__getitem__, words_of(text or ""))), "<u4").tobytes())
+                    size += len(text or "")
+                    if size >= RUN_CHARS or i == batch.num_rows - 1:
+                        words = word_bytes(list(islice(known, first, None)))
+                        columns = [whole(batch.column("id").slice(begin, len(numbers))), whole(pa.array(numbers, pa.binary())), whole(words), pa.array([restart])]
+                        yield pa.RecordBatch.from_arrays(columns, ["ids", "numbers", "words", "restart"])
+                        numbers, size, begin, restart = [], 0, i + 1, False
+                        if len(known) > len(often) + REMEMBERED:
+                            del known
+                            known, restart = begun(), True
+                        first = len(known)
 
     return runs
 
 
-def word_codes(encoded: pa.ListScalar, decoded: pa.ListScalar) -> tuple[list[bytes], list[bytes]]:
-    """The ids of each word as little-endian unsigned 32-bit integers, and its bytes."""
-    new = encoded.values
-    if not len(new):
-        return [], []
-    ends = (new.offsets.to_numpy() - new.offsets[0].as_py()).tolist()
-    values = new.flatten().to_numpy().astype("<u4").tobytes()
-    return [values[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], decoded.values.to_pylist()
+class Pieces:
+    """Sequences of numbers by place, in one array: a word takes about ten bytes beside its own."""
+
+    def __init__(self, ends: np.ndarray, data: np.ndarray):
+        """ends: where each sequence ends, after a leading zero."""
+        self.ends, self.data = ends, data
+
+    @classmethod
+    def of(cls, values: pa.Array, kind: str) -> Pieces:
+        """From an array of lists or binaries."""
+        ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int32)
+        if not len(values):
+            return cls(ends, np.zeros(0, kind))
+        data = values.values.to_numpy() if pa.types.is_list(values.type) else np.frombuffer(values.buffers()[2], np.uint8)
+        return cls(ends - ends[0], data[ends[0] : ends[-1]].astype(kind))
+
+    def with_more(self, other: Pieces) -> Pieces:
+        return Pieces(np.concatenate([self.ends, other.ends[1:] + self.ends[-1]]), np.concatenate([self.data, other.data]))
+
+    def joined(self, at: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences at ``at`` one after another, and where each part of ``at`` that ends at one of the ``cuts`` ends."""
+        begin = self.ends[at].astype(np.int64)
+        n = self.ends[at + 1] - begin
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        return self.data[np.repeat(begin - total[:-1], n) + np.arange(total[-1])], total[cuts]
 
 
 def digests(common):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, n_tokens, ids_sha256, decoded_sha256) of each document, from its words' ids and bytes."""
-        _, often_ids, often_pieces = common.value
-        ids, pieces = list(often_ids), list(often_pieces)
+        ids, pieces = often = common.value
         for batch in batches:
             docs, numbers, encoded, data, restart = (batch.column(c) for c in ("ids", "numbers", "encoded", "decoded", "restart"))
             for i in range(batch.num_rows):
                 if restart[i].as_py():
-                    del ids[len(often_ids) :], pieces[len(often_ids) :]
-                more = word_codes(encoded[i], data[i])
-                ids += more[0]
-                pieces += more[1]
-                rows = []
-                for words in numbers[i].values.to_pylist():
-                    at = np.frombuffer(words, "<u4").tolist()
-                    own = b"".join(map(ids.__getitem__, at))
-                    rows.append((len(own) // 4, hashlib.sha256(own).hexdigest(), hashlib.sha256(b"".join(map(pieces.__getitem__, at))).hexdigest()))
-                n, x, y = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([docs[i].values, pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    ids, pieces = often
+                ids, pieces = ids.with_more(Pieces.of(encoded[i].values, "<u2")), pieces.with_more(Pieces.of(data[i].values, "u1"))
+                own = Pieces.of(numbers[i].values, "u1")
+                at, cuts = own.data.view("<u4"), own.ends // 4
+                (codes, code_ends), (text, text_ends) = ids.joined(at, cuts), pieces.joined(at, cuts)
+                hashed = lambda values, ends: [hashlib.sha256(values[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                columns = [docs[i].values, pa.array(np.diff(code_ends)), pa.array(hashed(codes.astype("<u4"), code_ends), pa.string()), pa.array(hashed(text, text_ends), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digest
 
@@ -274,21 +291,22 @@ def coded(words: DataFrame, ranks: dict[bytes, int], table: RankTable) -> DataFr
     return both.select("*", decoded(F.col("encoded"), ranks).alias("decoded"))
 
 
-def common_words(rows: DataFrame, ranks: dict[bytes, int], table: RankTable, pattern: str) -> tuple[list[str], list[bytes], list[bytes]]:
-    """At most COMMON words with their ids and bytes."""
+def rows_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words to rows of WORDS_A_ROW of them, as they are and as bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, WORDS_A_ROW):
+            own = batch.column("word").slice(at, WORDS_A_ROW)
+            columns = [pa.ListArray.from_arrays(np.array([0, len(x)], np.int32), x) for x in (own, word_bytes(own.to_pylist()))]
+            yield pa.RecordBatch.from_arrays(columns, ["own", "words"])
+
+
+def common_words(rows: DataFrame, ranks: dict[bytes, int], table: RankTable, pattern: str) -> tuple[pa.Array, tuple[Pieces, Pieces]]:
+    """At most COMMON words; their ids and bytes."""
     counts = hash_sample(rows, ["id"], SAMPLE_ROWS).select("text").mapInArrow(count_words(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    often = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(COMMON).select("word").toArrow().column("word").to_pylist()
-    if not often:
-        return [], [], []
-    parts = [often[i : i + WORDS_A_ROW] for i in range(0, len(often), WORDS_A_ROW)]
-    dealt = rows.sparkSession.createDataFrame(pa.table({"at": pa.array(range(len(parts)), pa.int32()), "words": pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)], dtype=np.int32), word_bytes(often))})).repartition(len(parts), "at")
-    ids, pieces = [], []
-    found = coded(dealt, ranks, table).orderBy("at").toArrow()
-    for x, y in zip(found.column("encoded"), found.column("decoded"), strict=True):
-        more = word_codes(x, y)
-        ids += more[0]
-        pieces += more[1]
-    return often, ids, pieces
+    often = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(COMMON).select("word").repartition(-(-COMMON // WORDS_A_ROW) // 4, "word")
+    found = coded(often.mapInArrow(rows_of_words, "own array<string>, words array<array<long>>"), ranks, table).toArrow()
+    words, ids, pieces = (found.column(c).combine_chunks() for c in ("own", "encoded", "decoded"))
+    return words.flatten().cast(pa.string()), (Pieces.of(ids.flatten(), "<u2"), Pieces.of(pieces.flatten(), "u1"))
 
 
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,7 +314,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     table = RankTable(pair_ranks(ranks))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    common = Shared(docs.sparkSession, common_words(rows, ranks, table, pattern))
-    runs = rows.mapInArrow(runs_of_words(pattern, common), f"ids array<{kind}>, numbers array<binary>, words array<array<long>>, restart boolean")
-    found = coded(runs, ranks, table).mapInArrow(digests(common), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    words, codes = common_words(rows, ranks, table, pattern)
+    runs = rows.mapInArrow(runs_of_words(pattern, Shared(docs.sparkSession, words)), f"ids array<{kind}>, numbers array<binary>, words array<array<long>>, restart boolean")
+    found = coded(runs, ranks, table).mapInArrow(digests(Shared(docs.sparkSession, codes)), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return found.select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256")

@@ -394,6 +394,18 @@ def test_suffix_dedup_of_a_common_line_lists_few_windows(spark, monkeypatch):
 # 8: byte-level BPE
 
 
+def test_byte_bpe_word_table_is_small():
+    import pyarrow as pa
+
+    words = [[], [7], [65_000, 1, 2], list(range(300))]
+    codes = byte_bpe.Pieces.of(pa.array(words, pa.list_(pa.int64())).slice(1), "<u2")
+    codes = codes.with_more(byte_bpe.Pieces.of(pa.array([], pa.list_(pa.int64())), "<u2")).with_more(byte_bpe.Pieces.of(pa.array(words[:2], pa.list_(pa.int64())), "<u2"))
+    data, ends = codes.joined(np.array([4, 1, 0, 3, 1]), np.array([0, 2, 2, 5]))
+    assert data.tolist() == [7, 65_000, 1, 2, 7, 65_000, 1, 2] and ends.tolist() == [0, 4, 4, 8]
+    many = byte_bpe.Pieces.of(pa.array([[1, 2, 3]] * 100_000, pa.list_(pa.int64())), "<u2")
+    assert many.ends.nbytes + many.data.nbytes <= 11 * 100_000  # a bytes object alone takes over 33 bytes a word
+
+
 @pytest.mark.parametrize("remembered", [400_000, 0])
 def test_byte_bpe_equals_tiktoken(spark, corpus, remembered, monkeypatch):
     import tiktoken
