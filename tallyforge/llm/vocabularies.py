@@ -67,18 +67,6 @@ class ByteLevelBpe(Lazy):
 LETTERS = "".join(sorted({x for c in range(0x250) for x in chr(c) + chr(c).lower() if x.isalpha()}))
 
 
-class Memory(dict):
-    """Ids by chunk; a chunk that isn't known is noted and gives nothing."""
-
-    def __init__(self):
-        super().__init__()
-        self.unknown: set[str] = set()
-
-    def __missing__(self, chunk: str) -> bytes:
-        self.unknown.add(chunk)
-        return b""
-
-
 class WordBpe(Lazy):
     """A lower-casing BPE file with word ends, of the tokenizers library.
 
@@ -97,16 +85,17 @@ class WordBpe(Lazy):
     def build(self):
         from tokenizers import Tokenizer
 
-        self.built = Tokenizer.from_str(self.content), Memory()
+        self.built = Tokenizer.from_str(self.content), {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encoded([text])[0], np.uint32)
 
-    def remember(self) -> None:
+    def remember(self, unknown: set[str]) -> None:
         """Add the ids of the unknown chunks, from those of their words, which are chunks themselves."""
         library, known = self.built
-        split = {c: self.WORDS.findall(c) for c in known.unknown}
-        new = list({w for own in split.values() for w in own if w not in known})
+        words = set(filter(str.isalpha, unknown))
+        split = {c: self.WORDS.findall(c) for c in unknown.difference(words)}
+        new = list(words.union(*split.values()).difference(known))
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             found = library.encode(" ".join(part), add_special_tokens=False)
@@ -118,7 +107,6 @@ class WordBpe(Lazy):
         for chunk, own in split.items():
             if len(own) != 1:
                 known[chunk] = b"".join(map(known.__getitem__, own))
-        known.unknown.clear()
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -127,18 +115,11 @@ class WordBpe(Lazy):
         library, known = self.built
         if len(known) > self.REMEMBERED:
             known.clear()
-        look, out, again = known.__getitem__, [], []
-        for i, text in enumerate(texts):
-            if "<|" in text or not self.PLAIN.fullmatch(text):
-                out.append(np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-                continue
-            before = len(known.unknown)
-            chunks = text.lower().split()
-            out.append(b"".join(map(look, chunks)))
-            if known.unknown and (len(known.unknown) > before or not known.unknown.isdisjoint(chunks)):
-                again.append((i, chunks))
-        if again:
-            self.remember()
-            for i, chunks in again:
-                out[i] = b"".join(map(look, chunks))
+        plain = [None if "<|" in t or not self.PLAIN.fullmatch(t) else t.lower().split() for t in texts]
+        unknown = set().union(*filter(None, plain)).difference(known)
+        if unknown:
+            self.remember(unknown)
+        look, out = known.__getitem__, []
+        for text, chunks in zip(texts, plain, strict=True):
+            out.append(np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if chunks is None else b"".join(map(look, chunks)))
         return out

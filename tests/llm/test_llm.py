@@ -499,6 +499,23 @@ def test_word_memory_equals_the_library():
     assert own.encoded(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_word_memory_looks_each_chunk_up_once():
+    class Counted(dict):
+        looked = 0
+
+        def __getitem__(self, chunk):
+            Counted.looked += 1
+            return super().__getitem__(chunk)
+
+    own = vocabularies.WordBpe.read(public_tokenizers.path("word_bpe_49k.json"))
+    own.build()
+    own.built = (own.built[0], Counted())
+    texts = [f"alpha{'xyz'[i % 3] * i} beta gamma" for i in range(50)]
+    own.encoded(texts)
+    assert Counted.looked == sum(len(t.split()) for t in texts)
+
+
+
 def test_executors_need_no_copy_of_the_package(tmp_path):
     """The package is on the driver's path only, by sys.path, which workers don't inherit."""
     code = f"""
