@@ -163,6 +163,17 @@ def test_pdf_operators():
         list(pdf.shown_lines(b"(never"))
 
 
+def test_contents_share_frames():
+    import pandas as pd
+
+    files = pd.DataFrame({"id": range(300), "content": [pdf.pdf_bytes(f"{i}\nend") if i % 7 else b"plain" for i in range(300)]})
+    decode, columns = parsers.FORMATS["pdf"]
+    found = list(parsers.rows_of(decode, [c.split()[0] for c in columns.split(", ")])(iter([files[:100], files[100:]])))
+    assert len(found) == 1  # one for each file before
+    rows = [tuple(None if x is None else x for x in r) for r in found[0].itertuples(index=False)]
+    assert rows == [r for i in range(300) for r in ([(i, 0, 0, str(i), None), (i, 0, 1, "end", None)] if i % 7 else [(i, None, None, None, "damaged")])]
+
+
 def test_pdf_files(spark):
     long = "\n".join(f"Zeile {i} \\ ( ) ж" if i % 3 else "" for i in range(95))
     files = {1: pdf.pdf_bytes(long), 2: pdf.pdf_bytes(""), 3: pdf.pdf_bytes(long).rpartition(b"endstream")[0][:-5], 4: b"plain", 5: b"%PDF-1.4 /Encrypt", 6: None, 7: b"%PDF-1.4\n<< /Length 9 >>\nstream\n(raw) Tj \nendstream\n<< /Type /XObject /Subtype /Image >>\nstream\n(no) Tj\nendstream"}
