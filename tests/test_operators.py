@@ -303,3 +303,27 @@ def test_annotations_of_a_target_are_one_aggregate(spark, tmp_path):
     targets = [r[:2] for r in data]
     assert {tuple(r) for r in found.collect()} == {(*r, "materialized" if targets.count(r[:2]) == 1 else "presence") for r in data}
     assert found.count() == len(set(data)) and "Window" not in found._jdf.queryExecution().toString()
+
+
+def test_replay_appends_a_batch_and_reads_at_the_timer():
+    from types import SimpleNamespace
+
+    from tallyforge.streaming import replay
+
+    class State:
+        def __init__(self):
+            self.rows, self.calls = [], []
+
+        def __getattr__(self, name):
+            return lambda *a: self.calls.append(name) or {"get": lambda: iter(self.rows), "appendList": lambda rows: self.rows.extend(rows), "clear": self.rows.clear}[name](*a)
+
+    one = replay.Replay(100)
+    one.entries, at, timers = State(), [], []
+    one.deadline = SimpleNamespace(get=lambda: at[-1] if at else None, update=at.append, clear=at.clear)
+    one.handle = SimpleNamespace(registerTimer=timers.append, deleteTimer=timers.remove)
+    rows = lambda *x: iter([dict(zip(("kind", "entry", "at"), r, strict=True)) for r in x])
+    assert not list(one.handleInputRows((5,), rows(("expected", 1, 10), ("seen", 1, 12), ("seen", 1, 11), ("seen", 9, 12), ("expected", 2, 20)), None))
+    assert not list(one.handleInputRows((5,), rows(("seen", 2, 75), ("expected", 3, 15), ("seen", 4, 1)), None))
+    assert one.entries.calls == ["appendList"] * 2 and timers == [120]  # before: two or three calls for each row
+    [found] = one.handleExpiredTimer((5,), None, None)
+    assert tuple(found) == (5, 3, 2, 1, 1, 2, 1, "incomplete")
