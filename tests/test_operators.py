@@ -327,3 +327,11 @@ def test_replay_appends_a_batch_and_reads_at_the_timer():
     assert one.entries.calls == ["appendList"] * 2 and timers == [120]  # before: two or three calls for each row
     [found] = one.handleExpiredTimer((5,), None, None)
     assert tuple(found) == (5, 3, 2, 1, 1, 2, 1, "incomplete")
+
+
+def test_stitched_columns_are_dealt_by_rows(spark, monkeypatch):
+    from tallyforge.plans import assembly
+
+    monkeypatch.setattr(assembly, "_TASK_ROWS", 200)
+    found = assembly.stitched_columns(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= 30  # before: as few as the shuffle's size asked for
