@@ -1,5 +1,7 @@
-"""Near-duplicates by exact Jaccard similarity of shingle sets; candidates come from bands of min-hashes.
+"""Near-duplicates by exact Jaccard similarity of shingle sets; candidates come from SimHash fingerprints in vantage-point trees and from bands of min-hashes.
 
+0. Sets whose fingerprints differ in RADIUS bits or fewer, found by the forest of vantage-point trees of ``simhash_dedup``,
+   are candidates, as are sets of one fingerprint. Pairs of a similarity near the least often lie farther apart; those are left to 1.
 1. A text's sketch has BANDS * ROWS min-hashes of its set of word shingles. Two
    sets of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS: all
    but 1.2e-7 of the pairs of similarity 0.8 meet, and fewer above are missed.
@@ -27,12 +29,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash_dedup
 from .common import free, stored
 from .components import components
-from .simhash_dedup import row_keys, shingle_hashes
+from .simhash_dedup import fingerprint_of, row_keys, shingle_hashes
 
 WORDS = 5
 TENTHS = 8  # least similarity, in tenths
+RADIUS = 7  # differing bits; each quarter's tree is searched one bit around, as for 4
 BANDS = 40
 ROWS = 5
 COLUMNS = 512
@@ -61,14 +65,14 @@ def band_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(text: Column, words: int) -> Column:
-    """A struct of the set's key, its size and its bands."""
+    """A struct of the set's key, its size, its bands and its fingerprint."""
 
-    @F.pandas_udf("node long, size int, bands array<long>")
+    @F.pandas_udf("node long, size int, bands array<long>, fp long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingle_set(t, words) for t in texts]
             keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"node": keys, "size": [len(s) for s in sets], "bands": [band_hashes(s) for s in sets]})
+            yield pd.DataFrame({"node": keys, "size": [len(s) for s in sets], "bands": [band_hashes(s) for s in sets], "fp": np.array([fingerprint_of(s) for s in sets], np.uint64).view(np.int64)})
 
     return of(text)
 
@@ -90,6 +94,16 @@ def alike(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     return right.join(left, ["a", "part"]).where((10 + tenths) * shared >= tenths * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
+def near_fingerprints(distinct: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of the sets (node, fp): each with the least of its fingerprint, and those with the ones that the trees link them to."""
+    first = stored(distinct.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    links = simhash_dedup.fingerprint_links(distinct.sparkSession, first.select("fp"), radius)
+    of = lambda name: first.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_node"))
+    far = links.distinct().join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("x"), F.col("b_node").alias("y"))
+    same = distinct.join(first, "fp").where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y"))
+    return far.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def sharing_rare_shingles(nodes: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     """Pairs (a, b) of different roots among ``nodes`` (node, root): all that can have the similarity, and few others.
 
@@ -119,18 +133,20 @@ def sharing_rare_shingles(nodes: DataFrame, sets: DataFrame, tenths: int) -> Dat
 
 def linked_sets(docs: DataFrame, sketched: DataFrame, words: int, tenths: int, text_col: str, id_col: str) -> DataFrame:
     """(node, root) of the sets that aren't their component's root."""
-    distinct = stored(sketched.groupBy("node", "size").agg(F.min("row_key").alias("row_key"), F.first("bands").alias("bands")), "sets")
+    distinct = stored(sketched.groupBy("node", "size").agg(F.min("row_key").alias("row_key"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "sets")
+    near = stored(near_fingerprints(distinct.where("size > 0").select("node", "fp"), RADIUS), "near")
     placed = distinct.select(F.explode("bands").alias("bucket"), "node", "size")
     met = stored(placed.join(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "met")
     weights = met.groupBy("node").agg(F.sum("n").alias("weight"))
     middles = met.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("middle")).select("bucket", F.col("middle.node").alias("middle"))
 
-    concerned = distinct.join(met.select("node").distinct(), "node", "left_semi").select("node", "row_key")
+    paired = met.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    concerned = distinct.join(paired, "node", "left_semi").select("node", "row_key")
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(row_keys(id_col, text)[0], text.alias("text")).join(concerned, "row_key").select("node", "text")
     sets = stored(texts.mapInPandas(shingles_of(words), "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
 
-    stars = met.join(middles, "bucket").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).where("a <> b").distinct()
+    stars = met.join(middles, "bucket").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).where("a <> b").unionByName(near).distinct()
     links = stored(alike(stars, sets, tenths), "stars")
     roots = components(links)
 

@@ -57,7 +57,10 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
 
 def fingerprint(text: str, words: int = 4) -> int:
     """A bit is 1 if set in over half the shingles' hashes; 0 for no words."""
-    hashes = shingle_hashes(text, words)
+    return fingerprint_of(shingle_hashes(text, words))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -170,6 +173,11 @@ def leaf_links(radius: int, block: int = 256):
 
 def linked_fingerprints(spark: SparkSession, distinct: DataFrame, radius: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(node, root) components of the distinct fingerprints ``fp`` that lie within ``radius`` bits."""
+    return components(fingerprint_links(spark, distinct, radius, leaf_rows))
+
+
+def fingerprint_links(spark: SparkSession, distinct: DataFrame, radius: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(a, b) of distinct fingerprints ``fp``: a spanning forest of each leaf's pairs within ``radius`` bits, which together link all that lie so near."""
     rows = distinct.count()
     sample = hash_sample(distinct, ["fp"], min(MOST_SAMPLE, max(SAMPLE_ROWS, rows // 64))).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     forest = Forest(sample, rows, radius, leaf_rows)
@@ -181,8 +189,7 @@ def linked_fingerprints(spark: SparkSession, distinct: DataFrame, radius: int, l
             for leaf, at, home in sent.value.route(fps.view(np.uint64)):
                 yield pd.DataFrame({"leaf": np.full(len(at), leaf, np.int32), "fp": fps[at], "home": home})
 
-    found = distinct.mapInPandas(routed, "leaf int, fp long, home boolean").groupBy("leaf").applyInPandas(leaf_links(radius), "a long, b long")
-    return components(found)
+    return distinct.mapInPandas(routed, "leaf int, fp long, home boolean").groupBy("leaf").applyInPandas(leaf_links(radius), "a long, b long")
 
 
 def grouped(docs: DataFrame, words: int, radius: int, id_col: str, text_col: str, leaf_rows: int = LEAF_ROWS) -> DataFrame:

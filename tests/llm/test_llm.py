@@ -552,6 +552,18 @@ def test_rare_shingles_lose_no_similar_pair(spark):
     assert len(found) == len({tuple(r) for r in found}) < len(pairs)
 
 
+def test_near_duplicate_stage_goes_through_the_trees(spark, monkeypatch):
+    from tallyforge.llm import jaccard_dedup
+
+    asked, links = [], simhash_dedup.fingerprint_links
+    monkeypatch.setattr(simhash_dedup, "fingerprint_links", lambda spark, distinct, radius: asked.append(radius) or links(spark, distinct, radius))
+    sets = spark.createDataFrame([(1, 0), (2, 0b1111111), (3, 0b111 << 40), (4, -1), (5, -1), (6, 0b11111111 << 50)], "node long, fp long")
+    assert {tuple(r) for r in jaccard_dedup.near_fingerprints(sets, 7).collect()} == {(1, 2), (1, 3), (4, 5)}
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "other " + text[: len(text) // 2])], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in jaccard_dedup.one_of_each(docs).collect()) == [1, 3] and asked == [7, 7]
+
+
 def test_near_duplicate_stage_equals_brute_force_jaccard(spark):
     import corpus_pipeline
 
