@@ -640,3 +640,22 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
     identified = [r["doc_id"] for r in corpus_pipeline.keep_identified(spark, table, str(tmp_path)).collect()]
     assert sorted(i for i in identified if i is not None) == [0, 1, 4, 4, 6] and None in identified
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, table.where("doc_id < 2"), str(tmp_path)).collect()) == [0]
+
+
+def test_pipeline_sends_workers_few_bytes_at_a_time(spark, tmp_path):
+    import corpus_pipeline
+
+    setting, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    spark.createDataFrame([(0, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long = spark.range(300, numPartitions=1).select(F.repeat(F.lit("words "), 10_000).alias("text"))
+
+    def sizes(batches):
+        for pdf in batches:
+            yield pdf[:1].assign(n=pdf["text"].str.len().sum())[["n"]]
+
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(setting)
+        stage(spark, docs(spark, ["a b c"]).withColumn("lang", F.lit("en")), str(tmp_path))
+        seen.append(long.mapInPandas(sizes, "n long").agg(F.max("n"), F.sum("n")).first())
+    spark.conf.unset(setting)
+    assert all(most < 5_000_000 and total == 18_000_000 for most, total in seen)
