@@ -187,7 +187,7 @@ def find_anchors(shape: Shape, bitmap, encode: Callable[[str], bytes]):
             k1, k2 = pdf["k1"].to_numpy(), pdf["k2"].to_numpy()
             for chunk in pieces(texts, shape.window):
                 owner, offset, gram = anchors_of([c[2] for c in chunk], rolling, shape)
-                bit = gram >> np.uint64(64 - FILTER_BITS)
+                bit = gram & np.uint64((1 << FILTER_BITS) - 1)
                 let_through = (recurring[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 owner, gram = owner[let_through], gram[let_through]
                 number, at = (np.array([c[j] for c in chunk])[owner] for j in (0, 1))
@@ -368,10 +368,11 @@ def text_keys(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def gram_filter(spark: SparkSession, texts: DataFrame, shape: Shape, encode: Callable[[str], bytes]):
-    """A broadcast bitmap of 2^FILTER_BITS bits, those of the grams that several anchors have set."""
+    """A broadcast bitmap of 2^FILTER_BITS bits, those of the grams that several anchors have set. The hashes' low bits
+    number them: an anchor has the least hash of a window, so the high ones are nearly always zero."""
     counts = texts.select("text").mapInPandas(count_grams(shape, encode), "gram long, n int").groupBy("gram").agg(F.sum("n").alias("n"))
-    bit = F.shiftrightunsigned("gram", 64 - FILTER_BITS)
-    words = counts.where("n > 1").select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - FILTER_BITS}) & 63 as int))").alias("bit"))
+    word = F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6)
+    words = counts.where("n > 1").select(word.alias("word"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most 2^(FILTER_BITS - 6) rows
     bitmap = np.zeros(1 << (FILTER_BITS - 6), "<i8")
     bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)

@@ -391,6 +391,28 @@ def test_suffix_dedup_of_a_common_line_lists_few_windows(spark, monkeypatch):
     assert listed["across"] > 200 and listed["windows"] < 60 * listed["across"]  # of 338 in a suffix's context
 
 
+def test_suffix_dedup_leaves_out_anchors_without_a_partner(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "FILTER_BITS", 14)
+    listed = {}
+
+    def counted(df, name, stored=suffix_dedup.stored):
+        out = stored(df, name)
+        listed[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", counted)
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passages = [text(450) for _ in range(100)]
+    texts = [text(1000) + p + text(1000) for p in passages * 2]
+    found = suffix_dedup.deduplicated(docs(spark, texts)).collect()
+    starts = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    for r in found:
+        t = texts[r["doc_id"]]
+        assert r["n_removed"] == len({j for k in range(len(t) - 399) if starts[t[k : k + 400]] > 1 for j in range(k, k + 400)}) >= 450
+    assert listed["anchors"] < 1500  # of about 4,700, some 700 of which recur; the bitmap has 16,384 bits
+
+
 # 8: byte-level BPE
 
 
